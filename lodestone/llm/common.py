@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batch: pa.RecordBatch, text: int, limit: int = 2 << 20) -> Iterator[p
     if not n:
         return
     column = batch.column(text)
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
     total = np.cumsum(sizes)
     lo = 0
     while lo < n:
@@ -66,8 +67,6 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, work: Callable[[pa.Arra
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
         for batch in batches:
             for part in slices(batch, 1, limit):
                 made = work(part.column(0), part.column(1).to_pylist())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality_rules, simhash, token_pack
+from . import decontaminate, mixing, quality_rules, simhash, substring_dedup, token_pack
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.packed_tokens(table(spark, sf_dir, "documents"))
 
