@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_model, quality_rules, simhash, substring_dedup, token_pack
+from . import decontaminate, mixing, pii, quality_model, quality_rules, quotes, secrets, simhash, substring_dedup, token_pack
 from .common import table
 
 
@@ -18,14 +19,28 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner; its texts in one language are a repository."""
+    repository = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.coalesce("lang", F.lit("")))
+    return secrets.owned_secrets(table(spark, sf_dir, "documents"), repository=repository)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_messages(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -43,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.ORACLE.format(documents="documents")}
+    return {"op3_secret_ownership": secrets.ORACLE, "op5_quote_linking": quotes.ORACLE, "op8_source_mixing": mixing.ORACLE.format(documents="documents")}
