@@ -40,6 +40,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that no frame has, in any case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in the one column of ids, with all columns of docs as they are.
+
+    An anti join: the ids are broadcast if Spark measures them below its
+    threshold, else both sides are partitioned by id.
+    """
+    name = fresh("gone", docs)
+    gone = ids.toDF(name).where(F.col(name).isNotNull()).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
+
+
 def slices(batch: pa.RecordBatch, text: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice have about ``limit`` bytes, one row at least."""
     import numpy as np

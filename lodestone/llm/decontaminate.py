@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, without
 from .texthash import U64, Windows, mix, window_starts, words
 
 RATE = 0.2
@@ -268,5 +268,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that leak no item, with the columns that came; rows without an id stay."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__leaks")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__leaks"), "left_anti")
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, text_col, **options).select("doc_id"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 
 ALPHA = 0.7
 BLOCK_TOKENS = 16_384
@@ -101,9 +101,10 @@ def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document scheduled in several epochs comes once an epoch.
     """
-    slots = mixed(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("__id"), F.col("slot").alias("__slot")).distinct()
-    run = F.floor(F.col("__slot") / 256)  # slots that stay together
-    return docs.join(slots, F.col(id_col) == F.col("__id")).repartition(run).sortWithinPartitions("__slot").drop("__id", "__slot")
+    key, slot = fresh("slot_id", docs), fresh("slot", docs)
+    slots = mixed(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias(key), F.col("slot").alias(slot)).distinct()
+    run = F.floor(F.col(slot) / 256)  # slots that stay together
+    return docs.join(slots, F.col(id_col) == F.col(key)).repartition(run).sortWithinPartitions(slot).drop(key, slot)
 
 
 ORACLE = f"""

@@ -203,7 +203,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, vectors, id_col: str,
     """
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("double").alias("y"))
     sample = sample.withColumn("h", F.xxhash64("__id")).orderBy("h", "__id").limit(most)
-    joined = docs.join(F.broadcast(sample), F.col(id_col) == F.col("__id")).select(F.struct("h", "__id", "y").alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(sample), "__id").select(F.struct("h", "__id", "y").alias("key"), "text")
 
     def work(keys: pa.Array, texts: list) -> dict:
         x, _ = pooled(texts, vectors.value)

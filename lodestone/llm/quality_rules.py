@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts
+from .common import checkpoint, map_texts, without
 from .vocabulary import FOLDER, load
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -113,5 +113,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Rows that share an id stay or go together (they go if one is rejected);
     rows without an id stay.
     """
-    bad = judged(docs, id_col, text_col, lang_col, **options).where(~F.col("keep")).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__bad"), "left_anti")
+    return without(docs, id_col, judged(docs, id_col, text_col, lang_col, **options).where(~F.col("keep")).select("doc_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_texts
+from .common import checkpoint, map_texts, without
 from .components import components
 from .texthash import U64, Words, mix, words
 
@@ -223,5 +223,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The documents that stay, with the columns that came; see near_duplicates()."""
-    gone = near_duplicates(docs, id_col, text_col, radius).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return without(docs, id_col, near_duplicates(docs, id_col, text_col, radius).where(~F.col("kept")).select("doc_id"))

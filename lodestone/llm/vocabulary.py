@@ -16,17 +16,17 @@ LONG = 1 << 19
 
 
 def pieces(text: str, limit: int = LONG) -> list[str]:
-    """Cut before white space, so that no piece but one without any is much over the limit."""
-    if len(text) <= limit:
-        return [text]
+    """Cut before single spaces between other characters, so that no piece but one without any is much over the limit."""
     out, lo = [], 0
     while len(text) - lo > limit:
-        hi = lo + limit
-        while hi < len(text) and not (text[hi].isspace() and not text[hi - 1].isspace()):
-            hi += 1
+        hi = text.find(" ", lo + limit)
+        while hi >= 0 and (text[hi - 1].isspace() or text[hi + 1 : hi + 2].isspace() or hi + 1 == len(text)):
+            hi = text.find(" ", hi + 1)
+        if hi < 0:
+            break
         out.append(text[lo:hi])
         lo = hi
-    return [*out, text[lo:]] if lo < len(text) else out
+    return [*out, text[lo:]]
 
 
 class PieceVocabulary:
@@ -42,7 +42,8 @@ class PieceVocabulary:
     def encode(self, texts: list[str]) -> list[list[int]]:
         if max(map(len, texts), default=0) <= LONG:
             return self.model.encode(texts, num_threads=1)
-        return [[k for part in pieces(t) for k in self.model.encode(part)] for t in texts]
+        # the model puts a space before every text, so a piece goes without its own
+        return [[k for n, part in enumerate(pieces(t)) for k in self.model.encode(part[n > 0 :])] for t in texts]
 
 
 class ByteVocabulary:
