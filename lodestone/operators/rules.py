@@ -231,4 +231,4 @@ def sql_scan(rules: list[Rule], files_sql: str) -> str:
     for r in rules:
         issue = "concat(regexp_extract(line, '(?i)(?:#|//|/\\*)\\s*(FIXME|HACK|TODO|XXX)', 1), ' comment')" if r.tool == "todos" else sql_text(r.issue)
         parts.append(f"SELECT {sql_text(r.tool)} AS tool, {r.seq} AS rule_seq, file_seq, path AS file, line_no AS line, substr(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 1, {r.cut}) AS code, {issue} AS issue, {sql_confidence(r)} AS confidence, {sql_text(r.severity)} AS severity, {sql_text(r.fix)} AS fix, {sql_text(r.category)} AS category FROM lines WHERE {sql_condition(r)}")
-    return f"WITH files AS ({files_sql}), lines AS (SELECT file_seq, path, content, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files) " + " UNION ALL ".join(parts)
+    return f"WITH files AS ({files_sql}), lines AS (SELECT file_seq, path, content, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM files) " + " UNION ALL ".join(parts)

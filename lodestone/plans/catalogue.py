@@ -42,7 +42,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOC_FILES = "files AS (SELECT doc_id AS file_seq, concat(source, '/', doc_id, '.', lang) AS path, text AS content FROM documents)"
-DOC_LINES = DOC_FILES + ", lines AS (SELECT file_seq, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files)"
+DOC_LINES = DOC_FILES + ", lines AS (SELECT file_seq, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM files)"
 STRIP = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
 
 
@@ -116,12 +116,12 @@ def list_files_by_ext(spark, sf_dir):
     return search.list_files(doc_files(spark, sf_dir), "src1")
 
 
-@query(rf"WITH {DOC_FILES} SELECT file_seq, path, concat('.', regexp_extract(path, '\.([^./]+)$', 1)) AS extension, length(content) AS n_chars, len(string_split(content, chr(10))) AS n_lines, string_split(content, chr(10))[1] AS first_line FROM files")
+@query(rf"WITH {DOC_FILES} SELECT file_seq, path, concat('.', regexp_extract(path, '\.([^./]+)$', 1)) AS extension, length(content) AS n_chars, len(string_split(content, chr(10)))::INT AS n_lines, string_split(content, chr(10))[1] AS first_line FROM files")
 def file_info(spark, sf_dir):
     return search.file_info(doc_files(spark, sf_dir))
 
 
-@query(rf"WITH {DOC_FILES} SELECT line_no, line FROM (SELECT unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files WHERE file_seq = 7) WHERE line_no > 1 AND line_no <= 6")
+@query(rf"WITH {DOC_FILES} SELECT line_no, line FROM (SELECT unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM files WHERE file_seq = 7) WHERE line_no > 1 AND line_no <= 6")
 def read_file_window(spark, sf_dir):
     f = doc_files(spark, sf_dir).where("file_seq = 7")
     return corpus.lines(f).where("line_no > 1 and line_no <= 6").select("line_no", "line")
@@ -277,7 +277,7 @@ for _batch in BATCHES:
     _add_batch(_batch)
 
 
-_SAMPLE_LINES = f"files AS ({sample.sql()}), lines AS (SELECT file_seq, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no, len(string_split(content, chr(10))) AS n_lines FROM files)"
+_SAMPLE_LINES = f"files AS ({sample.sql()}), lines AS (SELECT file_seq, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no, len(string_split(content, chr(10)))::INT AS n_lines FROM files)"
 
 
 def _name_sql(starts: dict[str, str]) -> str:
@@ -589,7 +589,7 @@ def html_img_without_alt(spark, sf_dir):
     return tags.groupBy("page_id").agg(F.count("*").alias("n_images"), F.count_if(~F.col("tag").rlike(r"(?i)\salt\s*=")).alias("n_without_alt"))
 
 
-@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)\son[a-z]+\s*=')) AS n_handlers, len(regexp_extract_all(html, '(?i)<script')) AS n_scripts FROM pages")
+@query(r"SELECT page_id, len(regexp_extract_all(html, '(?i)\son[a-z]+\s*='))::INT AS n_handlers, len(regexp_extract_all(html, '(?i)<script'))::INT AS n_scripts FROM pages")
 def html_inline_handlers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)\son[a-z]+\s*=")).alias("n_handlers"), F.regexp_count("html", F.lit("(?i)<script")).alias("n_scripts"))
 

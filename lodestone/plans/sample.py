@@ -193,4 +193,4 @@ def files(spark: SparkSession) -> DataFrame:
 def sql() -> str:
     """The same rows as a relation (file_seq, path, content)."""
     rows = ", ".join(f"({k}, '{p}', '{c.replace(chr(39), chr(39) * 2)}')" for k, (p, c) in enumerate(FILES))
-    return f"SELECT * FROM (VALUES {rows}) AS v(file_seq, path, content)"
+    return f"SELECT file_seq::BIGINT AS file_seq, path, content FROM (VALUES {rows}) AS v(file_seq, path, content)"
