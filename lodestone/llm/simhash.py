@@ -23,7 +23,7 @@ from .components import components
 from .texthash import U64, Words, mix, words
 
 BITS = 128
-RADIUS = 18
+RADIUS = 20
 _LANE = U64(0x0101010101010101)
 
 
