@@ -50,7 +50,7 @@ def paragraph_chunks(files: DataFrame, limit: int = SIZE) -> DataFrame:
 def sentence_chunks(files: DataFrame, limit: int = SIZE) -> DataFrame:
     """Sentences end at '.', '!' or '?'; a text without any is one part, and a trailing fragment is kept."""
     parts = F.regexp_extract_all("content", F.lit(r"(?s)([^.!?]+[.!?]+|[^.!?]+$)"), F.lit(1))
-    return _exploded(files, pack(F.transform(parts, F.trim), limit, " "))
+    return _exploded(files, pack(F.transform(parts, lambda s: F.trim(s)), limit, " "))
 
 
 def markdown_chunks(files: DataFrame, limit: int = SIZE) -> DataFrame:

@@ -49,6 +49,8 @@ def files_from_rows(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFra
 def read_directory(spark: SparkSession, root: str, glob: str = "*", extensions: tuple[str, ...] = EXTENSIONS, skipped: tuple[str, ...] = SKIPPED_DIRECTORIES, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(files, skipped files with a reason) below a directory, recursively.
 
+    Spark's file sources leave out empty files, so those are in neither.
+
     Suffixes and directory names are predicates on the path, sizes on the
     file's length, so contents of what is skipped are not read for it.
     Contents are UTF-8; other bytes are read as Latin-1.
@@ -60,10 +62,9 @@ def read_directory(spark: SparkSession, root: str, glob: str = "*", extensions:
     raw = raw.withColumn("path", relative)
     within = ~F.arrays_overlap(F.split(F.col("path"), "/"), F.array(*[F.lit(x) for x in skipped]))
     listed = raw.where(within & extension_of(F.col("path")).isin(*extensions))
-    reason = F.when(F.col("length") > max_bytes, F.lit("too large")).when(F.col("length") == 0, F.lit("empty"))
-    rejected = listed.select("path", reason.alias("reason")).where("reason is not null")
+    rejected = listed.where(F.col("length") > max_bytes).select("path", F.lit("too large").alias("reason"))
     text = F.when(F.is_valid_utf8(F.col("content")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
-    kept = listed.where((F.col("length") > 0) & (F.col("length") <= max_bytes)).select("path", text.alias("content"))
+    kept = listed.where(F.col("length") <= max_bytes).select("path", text.alias("content"))
     return as_files(kept, F.col("path"), F.col("content"), F.xxhash64("path")), rejected
 
 

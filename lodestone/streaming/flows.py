@@ -21,16 +21,24 @@ def scan_stream(documents: DataFrame, tools: list[str]) -> DataFrame:
     return scanners.rule_hits(scanners.lines(documents_as_files(documents)), [r for t in tools for r in scanners.TOOLS[t]])
 
 
+def _timed(events: DataFrame, late: str) -> tuple[DataFrame, str]:
+    """Events with a watermark, and the type that ts came in; watermarks need timestamps with a zone (the session's)."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), dict(events.dtypes)["ts"]
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """(start, end, event_type, n, total) by event time; later rows than the watermark are dropped."""
+    timed, kind = _timed(events, late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "total")
+    out = timed.groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("window.start").cast(kind).alias("start"), F.col("window.end").cast(kind).alias("end"), "event_type", "n", "total")
 
 
 def error_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, n): bursts of error events of a user."""
-    errors = events.where(F.col("event_type") == "error").withWatermark("ts", late)
-    return errors.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    timed, kind = _timed(events.where(F.col("event_type") == "error"), late)
+    out = timed.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").cast(kind).alias("start"), F.col("w.end").cast(kind).alias("end"), "n")
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
