@@ -137,7 +137,9 @@ def small_files_first(spark, sf_dir):
     return doc_files(spark, sf_dir).where("token_count <= 2000").orderBy("file_seq").limit(30).select("file_seq", "path", "token_count")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {DOC_FILES}, f AS (SELECT file_seq, path, (length(content) // 4)::INT AS token_count, row_number() OVER (ORDER BY file_seq) AS n FROM files),
+w AS (SELECT 0::BIGINT AS n, 0::BIGINT AS total, false AS kept UNION ALL SELECT f.n, CASE WHEN w.total + f.token_count <= 50000 THEN w.total + f.token_count ELSE w.total END, w.total + f.token_count <= 50000 FROM w JOIN f ON f.n = w.n + 1)
+SELECT file_seq, path, token_count FROM f JOIN w USING (n) WHERE kept""")
 def token_budget_first_fit(spark, sf_dir):
     return corpus.within_budget(doc_files(spark, sf_dir), 50_000).select("file_seq", "path", "token_count")
 
@@ -213,6 +215,7 @@ def _add_procedural(tool: str) -> None:
     QUERIES[f"scan_{tool}"] = run
 
 
+ORACLES["scan_missing_jailbreak_detection"] = f"SELECT 'missing_jailbreak_detection' AS tool, 1 AS rule_seq, NULL::BIGINT AS file_seq, '(project-wide)' AS file, 0 AS line, 'No jailbreak detection' AS code, 'Finance app without jailbreak detection' AS issue, 'MEDIUM' AS confidence, 'MEDIUM' AS severity, 'Look for common traces' AS fix, 'jailbreak' AS category FROM (SELECT bool_or(ends_with(path, '.swift') AND regexp_matches(content, '/Library/MobileSubstrate|/bin/bash|/usr/sbin/sshd|cydia|jailbr(?:eak|oken)', 'i')) AS looks, bool_or(regexp_matches(content, 'banking|finance|money|payment|transaction|wallet', 'i')) AS money FROM ({SCAN_SQL})) WHERE money AND NOT looks"
 for _tool in ("force_unwraps", "weak_self_issues", "cloudkit_issues", "task_cancellation_issues", "mainactor_issues", "callback_hell", "code_smells", "missing_jailbreak_detection"):
     _add_procedural(_tool)
 
@@ -268,9 +271,12 @@ def _add_batch(batch: str) -> None:
 
     QUERIES[f"batch_{batch}"] = run
     tools = BATCHES[batch]
-    if all(t in rules.TOOLS and t != "xss_vulnerabilities" for t in tools):
+    if all(t in rules.TOOLS for t in tools):
         keep = "" if batch == "persistence" else " WHERE confidence IN ('HIGH', 'MEDIUM')"
-        ORACLES[f"batch_{batch}"] = f"SELECT * FROM ({rules.sql_scan([r for t in tools for r in rules.TOOLS[t]], SCAN_SQL)}){keep}"
+        found = f"SELECT * FROM ({rules.sql_scan([r for t in tools if t != 'xss_vulnerabilities' for r in rules.TOOLS[t]], SCAN_SQL)})"
+        if "xss_vulnerabilities" in tools:
+            found += f" UNION ALL SELECT * FROM ({_xss_sql()})"
+        ORACLES[f"batch_{batch}"] = f"SELECT * FROM ({found}){keep}"
 
 
 for _batch in BATCHES:
@@ -284,9 +290,12 @@ def _name_sql(starts: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN ends_with(path, '{s}') THEN regexp_extract(line, {rules.sql_text(p)}, 1)" for s, p in reversed(starts.items())) + " ELSE '' END"
 
 
-@query(rf"""WITH {_SAMPLE_LINES}, heads AS (SELECT file_seq, path, n_lines, {_name_sql(structure.STARTS)} AS name, line_no AS start_line FROM lines),
+_FUNCTIONS_SQL = rf"""WITH {_SAMPLE_LINES}, heads AS (SELECT file_seq, path, n_lines, {_name_sql(structure.STARTS)} AS name, line_no AS start_line FROM lines),
 e AS (SELECT file_seq, path, name, start_line, coalesce(lead(start_line) OVER (PARTITION BY file_seq, path ORDER BY start_line) - 1, n_lines) AS end_line FROM heads WHERE name <> '')
-SELECT *, end_line - start_line + 1 AS length FROM e""")
+SELECT *, end_line - start_line + 1 AS length FROM e"""
+
+
+@query(_FUNCTIONS_SQL)
 def function_length(spark, sf_dir):
     return structure.functions(sample.files(spark))
 
@@ -294,24 +303,31 @@ def function_length(spark, sf_dir):
 _BRANCH_SQL = " + ".join(f"len(regexp_extract_all(line, {rules.sql_text(p.replace('(?iu)', '(?i)'))}))" for p in structure.BRANCHES)
 
 
-@query(rf"""WITH {_SAMPLE_LINES}, named AS (SELECT *, {_name_sql({k: v for k, v in structure._COMPLEX_STARTS.items()})} AS name FROM lines WHERE regexp_matches(path, '\.(?:py|swift|js|ts)$')),
+_COMPLEXITY_SQL = rf"""WITH {_SAMPLE_LINES}, named AS (SELECT *, {_name_sql(structure._COMPLEX_STARTS)} AS name FROM lines WHERE regexp_matches(path, '\.(?:py|swift|js|ts)$')),
 f AS (SELECT *, sum((name <> '')::INT) OVER (PARTITION BY file_seq, path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS func FROM named)
-SELECT file_seq, path, max(CASE WHEN name <> '' THEN name END) AS name, min(line_no) AS start_line, sum({_BRANCH_SQL})::BIGINT + 1 AS complexity FROM f WHERE func > 0 GROUP BY file_seq, path, func""")
+SELECT file_seq, path, max(CASE WHEN name <> '' THEN name END) AS name, min(line_no) AS start_line, sum({_BRANCH_SQL})::BIGINT + 1 AS complexity FROM f WHERE func > 0 GROUP BY file_seq, path, func"""
+
+
+@query(_COMPLEXITY_SQL)
 def complexity(spark, sf_dir):
     return structure.complexity(sample.files(spark))
 
 
-@query()
+@query(rf"""WITH e AS ({_FUNCTIONS_SQL}) SELECT 'long_functions' AS tool, 1 AS rule_seq, file_seq, path AS file, start_line AS line, concat(name, '(): ', length, ' lines') AS code, concat('Function of ', length, ' lines, more than 10') AS issue, 'HIGH' AS confidence, CASE WHEN length > 100 THEN 'HIGH' WHEN length > 60 THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'Split the function' AS fix, 'long_functions' AS category FROM e WHERE length > 10""")
 def scan_long_functions(spark, sf_dir):
     return structure.long_functions(sample.files(spark), 10)
 
 
-@query()
+@query(rf"""WITH e AS ({_COMPLEXITY_SQL}) SELECT 'complex_functions' AS tool, 1 AS rule_seq, file_seq, path AS file, start_line AS line, concat(name, '(): complexity ', complexity) AS code, concat('Complexity ', complexity, ', more than 5') AS issue, 'MEDIUM' AS confidence, CASE WHEN complexity < 20 THEN 'MEDIUM' ELSE 'HIGH' END AS severity, 'Split the decisions' AS fix, 'complex_functions' AS category FROM e WHERE complexity > 5""")
 def scan_complex_functions(spark, sf_dir):
     return structure.complex_functions(sample.files(spark), 5)
 
 
-@query()
+@query(rf"""WITH {_SAMPLE_LINES}, named AS (SELECT *, nullif({_name_sql(structure.STARTS)}, '') AS name FROM lines WHERE regexp_matches(path, '\.(?:py|swift|js|ts|rs|go)$')),
+c AS (SELECT *, last_value(name IGNORE NULLS) OVER (PARTITION BY file_seq, path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS caller FROM named),
+x AS (SELECT path, caller, line_no, name, unnest(list_distinct(regexp_extract_all(line, '\b([A-Za-z_]\w*)\s*\(', 1))) AS callee FROM c WHERE caller IS NOT NULL),
+e AS (SELECT path, caller, callee, min(line_no) AS line_no FROM x WHERE callee NOT IN ({", ".join(repr(w) for w in structure._NOT_FUNCTIONS)}) AND (name IS NULL OR name <> callee) GROUP BY ALL)
+SELECT path, caller, callee, line_no, callee IN (SELECT name FROM named WHERE name IS NOT NULL) AS internal FROM e""")
 def call_edges(spark, sf_dir):
     return structure.call_edges(sample.files(spark))
 
@@ -321,12 +337,12 @@ def call_graph_reach(spark, sf_dir):
     return structure.reachable(structure.call_edges(sample.files(spark)), "load")
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT path, {k!r} AS kind, trim(unnest(regexp_extract_all(content, {rules.sql_text(p)}, 1))) AS imported, unnest(regexp_extract_all(content, {rules.sql_text(p)}, 2)) AS module FROM ({sample.sql()}) WHERE regexp_matches(path, '\\.(?:cjs|js|jsx|mjs|ts|tsx)$')" for k, p in structure.IMPORTS.items()))
 def import_edges(spark, sf_dir):
     return structure.import_edges(sample.files(spark))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT path, {k!r} AS kind, trim(unnest(regexp_extract_all(content, {rules.sql_text(p)}, 1))) AS exported FROM ({sample.sql()}) WHERE regexp_matches(path, '\\.(?:cjs|js|jsx|mjs|ts|tsx)$')" for k, p in structure.EXPORTS.items()))
 def module_exports(spark, sf_dir):
     return structure.exports(sample.files(spark))
 
@@ -336,22 +352,24 @@ def import_frequency(spark, sf_dir):
     return structure.import_frequency(sample.files(spark))
 
 
-@query()
+@query(rf"""WITH {_SAMPLE_LINES}, r AS (SELECT * FROM (VALUES (1, 'import statement', 'import\s+react'), (2, 'from import', 'from\s+react'), (3, 'require call', 'require\(["'']react["'']')) AS v(rule_seq, issue, p))
+SELECT 'imports' AS tool, rule_seq, file_seq, path AS file, line_no AS line, substr({STRIP}, 1, 200) AS code, issue, 'HIGH' AS confidence, 'INFO' AS severity, '' AS fix, 'imports' AS category FROM lines JOIN r ON regexp_matches(line, p, 'i')""")
 def find_imports_react(spark, sf_dir):
     return scanners.find_imports(sample.files(spark), "react")
 
 
-@query()
+@query(rf"""WITH f AS ({sample.sql()}), c AS (SELECT CASE WHEN regexp_matches(lower(path), '(?:^|/)(?:__main__|app|index|main|server)\.\w+$|appdelegate') THEN 'entry' WHEN regexp_matches(lower(path), 'component|page|screen|view') THEN 'views' WHEN regexp_matches(lower(path), 'entit|model|schema') THEN 'models' WHEN regexp_matches(lower(path), 'api|client|manager|service') THEN 'services' WHEN regexp_matches(lower(path), 'helper|util|extension') THEN 'utilities' WHEN regexp_matches(lower(path), 'spec|test') THEN 'tests' WHEN regexp_matches(lower(path), 'config|setting|\.(?:ini|json|toml|yaml|yml)$') THEN 'config' ELSE 'other' END AS category, len(string_split(content, chr(10))) AS l, len(regexp_extract_all(content, '(?m)^\s*(?:async\s+)?(?:pub\s+)?(?:def|fn|func|function)\s+\w+')) AS f, len(regexp_extract_all(content, '(?m)^\s*(?:export\s+)?(?:class|enum|interface|protocol|struct|trait)\s+\w+')) AS c FROM f)
+SELECT category, count(*) AS n_files, sum(l)::BIGINT AS n_lines, sum(f)::BIGINT AS n_functions, sum(c)::BIGINT AS n_classes FROM c GROUP BY category""")
 def architecture_map(spark, sf_dir):
     return structure.architecture(sample.files(spark))
 
 
-@query()
+@query(rf"WITH f AS ({sample.sql()}), s AS (SELECT file_seq, path, regexp_extract_all(content, '(?m)^\s*((?:export\s+|pub\s+|public\s+|private\s+|async\s+)*(?:class|def|enum|fn|func|function|interface|protocol|struct|trait)\s+\w+[^\n{{:]*)', 1)[1:20] AS signatures FROM f) SELECT * FROM s WHERE len(signatures) > 0")
 def file_signatures(spark, sf_dir):
     return structure.signatures(sample.files(spark))
 
 
-@query()
+@query(rf"""WITH f AS ({rules.sql_scan(rules.TOOLS['websocket_flow'], sample.sql())}) SELECT 'websocket_flow' AS tool, 0 AS rule_seq, -1::BIGINT AS file_seq, '(summary)' AS file, 0 AS line, concat(count(*), ' places in ', count(DISTINCT file), ' files') AS code, 'Websocket use' AS issue, 'HIGH' AS confidence, 'INFO' AS severity, '' AS fix, 'websocket' AS category FROM f HAVING count(*) > 0 UNION ALL SELECT * FROM f""")
 def websocket_summary(spark, sf_dir):
     return structure.websocket_flow(sample.files(spark))
 
@@ -368,7 +386,10 @@ def dead_region_range_join(spark, sf_dir):
     return structure.lines_in_regions(refs, regions)
 
 
-@query()
+@query(rf"""WITH {_SAMPLE_LINES}, m AS (SELECT file_seq, path, line_no, regexp_matches(line, '^\s*#if\b') AS opens, regexp_matches(line, '^\s*#if\s+(?:false|0)\b') AS dead FROM lines WHERE regexp_matches(line, '^\s*#(?:if|endif)\b')),
+d AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY file_seq, path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth FROM m),
+p AS (SELECT *, lead(line_no) OVER (PARTITION BY file_seq, path, CASE WHEN opens THEN depth ELSE depth + 1 END ORDER BY line_no) AS nxt FROM d)
+SELECT file_seq, path, line_no AS start_line, coalesce(nxt, line_no) AS end_line FROM p WHERE opens AND dead""")
 def dead_code_regions(spark, sf_dir):
     return structure.dead_regions(sample.files(spark))
 
@@ -391,7 +412,8 @@ def verify_answer(spark, sf_dir):
     return verify.verification_stats(verify.verify_lines(verify.references(answers).select("file", "line"), sample.files(spark)))
 
 
-@query()
+@query(rf"""WITH {_SAMPLE_LINES}, n AS (SELECT DISTINCT path, n_lines FROM lines), f AS (SELECT * FROM (VALUES ('src/app.py', 5, 'x', 'HIGH'), ('src/app.py', 999, 'y', 'HIGH'), ('gone.py', 7, 'z', 'HIGH')) AS v(file, line, code, confidence))
+SELECT file, CASE WHEN line > n_lines THEN n_lines ELSE line END AS line, CASE WHEN line > n_lines THEN concat(code, ' [line adjusted]') ELSE code END AS code, CASE WHEN line > n_lines THEN 'LOW' ELSE confidence END AS confidence FROM f LEFT JOIN n ON n.path = f.file""")
 def findings_clamped(spark, sf_dir):
     found = spark.createDataFrame([("src/app.py", 5, "x", "HIGH"), ("src/app.py", 999, "y", "HIGH"), ("gone.py", 7, "z", "HIGH")], "file string, line int, code string, confidence string")
     return verify.clamp_lines(found, sample.files(spark))
@@ -612,6 +634,42 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.compress_whitespace(t).alias("compressed"), T.estimate_tokens(t).alias("tokens"), T.truncate_to_tokens(t, 100).alias("cut"), T.cache_key(F.lit("q"), t).alias("cache_key"))
 
 
+@query()
+def project_facts(spark, sf_dir):
+    from ..operators import project
+
+    return project.project_facts(sample.files(spark))
+
+
+@query()
+def offline_analysis(spark, sf_dir):
+    from ..operators import project
+
+    return project.offline_analysis(scan_files(spark, sf_dir), "security of secrets and sql")
+
+
+@query()
+def offline_quick_scan(spark, sf_dir):
+    from ..operators import project
+
+    return project.quick_scan(scan_files(spark, sf_dir))
+
+
+@query()
+def priority_files(spark, sf_dir):
+    from ..operators import project
+
+    return project.priority_files(scan_files(spark, sf_dir))
+
+
+@query()
+def answer_findings(spark, sf_dir):
+    from ..operators import project
+
+    answers = spark.createDataFrame([(1, "1. HIGH: src/app.py:5 - password in code\n   Move it.\n2. low: web/view.js:8 - markup\n"), (2, "none")], "id int, text string")
+    return project.answer_findings(answers)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
