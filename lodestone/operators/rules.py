@@ -121,7 +121,7 @@ def suffix_condition(path: Column, suffixes: tuple[str, ...]) -> Column:
 
 
 def condition(rule: Rule, line: Column, path: Column, low: Column) -> Column:
-    """Whether a rule holds on a line, as built-in expressions only."""
+    """Whether a rule holds on a line of a file that its suffixes allow, as built-in expressions only."""
     flag = "(?iu)"
     cond = line.rlike(flag + rule.pattern)
     literal = literal_of(rule.pattern)
@@ -150,7 +150,7 @@ def condition(rule: Rule, line: Column, path: Column, low: Column) -> Column:
             cond = cond & ~line.rlike(SAFE_TRY)
         else:
             raise ValueError(f"unknown skip {skip}")
-    return suffix_condition(path, rule.suffixes) & cond
+    return cond
 
 
 def confidence(rule: Rule, line: Column, path: Column) -> Column:
@@ -165,21 +165,23 @@ def rule_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
     """Findings of all rules in one pass over the lines.
 
     Each line gives an array of the rules that hold (literal test, then regex)
-    and only that is exploded; nothing is shuffled.  Suffix predicates of all
-    rules together are a filter on the path, which Catalyst moves below the
-    generation of lines.
+    and only that is exploded; nothing is shuffled.  Rules of the same suffixes
+    share one test of the path, and the suffixes of all rules together are a
+    filter on the path, which Catalyst moves below the generation of lines.
     """
     line, path, low = F.col("line"), F.col("path"), F.col("_low")
     every = {s for r in rules for s in r.suffixes} if all(r.suffixes for r in rules) else set()
     source = lines.where(suffix_condition(path, tuple(sorted(every)))) if every else lines
-    hits = []
+    hits: dict[tuple[str, ...], list[Column]] = {}
     for r in rules:
         made = F.struct(
             F.lit(r.tool).alias("tool"), F.lit(r.seq).alias("rule_seq"), (F.concat(F.regexp_extract(line, r"(?iu)(?:#|//|/\*)\s*(FIXME|HACK|TODO|XXX)", 1), F.lit(" comment")) if r.tool == "todos" else F.lit(r.issue)).alias("issue"),
             F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.fix).alias("fix"), confidence(r, line, path).alias("confidence"), F.lit(r.cut).alias("cut"),
         )
-        hits.append(F.when(condition(r, line, path, low), made))
-    found = source.withColumn("_low", F.lower("line")).select("file_seq", "path", "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        hits.setdefault(r.suffixes, []).append(F.when(condition(r, line, path, low), made))
+    groups = [F.when(suffix_condition(path, suffixes), F.array_compact(F.array(*own))) for suffixes, own in hits.items()]
+    every_hit = F.flatten(F.array_compact(F.array(*groups)))
+    found = source.withColumn("_low", F.lower("line")).select("file_seq", "path", "line_no", "line", F.explode(every_hit).alias("h"))
     return found.select("h.tool", "h.rule_seq", "file_seq", F.col("path").alias("file"), F.col("line_no").alias("line"), F.expr("substring(regexp_replace(line, '^\\\\s+|\\\\s+$', ''), 1, h.cut)").alias("code"), "h.issue", "h.confidence", "h.severity", "h.fix", "h.category")
 
 

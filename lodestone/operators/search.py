@@ -88,14 +88,43 @@ def multi_search(files: DataFrame, searches: list[tuple[str, str]], cap: int = 5
     return flat
 
 
+#: Bytes of terms that one automaton holds; more terms are compared by a join.
+TERM_BYTES = 16 << 20
+
+
 def literal_search(files: DataFrame, terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """(term, path, line_no, line): case-insensitive substrings, every term against every line.
+    """(term, file_seq, path, line_no, line): case-insensitive substrings, every term against every line.
 
-    Terms come as a table; Spark broadcasts it if it is small enough for the
-    session's threshold.
+    The terms are measured first.  Up to ``TERM_BYTES`` they are sent to the
+    files as one automaton, whose time doesn't depend on their number; beyond,
+    lines and terms are joined on containment.
     """
     t = terms.select(F.col(term_col).alias("term"), F.lower(term_col).alias("_low")).where("_low <> ''").distinct()
-    return lines(files).join(t, F.lower("line").contains(F.col("_low"))).select("term", "file_seq", "path", "line_no", "line")
+    size = t.agg(F.coalesce(F.sum(F.octet_length("_low")), F.lit(0))).first()[0]
+    if size > TERM_BYTES:
+        return lines(files).join(t, F.lower("line").contains(F.col("_low"))).select("term", "file_seq", "path", "line_no", "line")
+    sent = files.sparkSession.sparkContext.broadcast([(r.term, r["_low"]) for r in t.collect()])
+
+    def run(batches):
+        import ahocorasick
+        import pandas as pd
+
+        names: dict[str, list[str]] = {}
+        for term, low in sent.value:
+            names.setdefault(low, []).append(term)
+        automaton = ahocorasick.Automaton()
+        for low, which in names.items():
+            automaton.add_word(low, which)
+        automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for seq, path, content in zip(batch.file_seq, batch.path, batch.content):
+                for k, line in enumerate(content.split("\n") if names and content is not None else (), 1):
+                    hit = {term for _, which in automaton.iter(line.lower()) for term in which}
+                    rows += [(term, seq, path, k, line) for term in sorted(hit)]
+            yield pd.DataFrame(rows, columns=["term", "file_seq", "path", "line_no", "line"])
+
+    return files.select("file_seq", "path", "content").mapInPandas(run, "term string, file_seq long, path string, line_no int, line string")
 
 
 def with_context(files: DataFrame, pattern: str, before: int = 3, after: int = 3, ignore_case: bool = True) -> DataFrame:

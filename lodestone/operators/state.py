@@ -95,17 +95,21 @@ def nearest_by_vector(queries: DataFrame, cache: DataFrame, least: float = 0.85)
 def nearest_by_words(queries: DataFrame, cache: DataFrame, least: float = 0.7) -> DataFrame:
     """(query_id, key, similarity): the cached text with the greatest Jaccard similarity of words, of equals the least key.
 
-    Pairs meet on a shared word of the prefix that a similarity of ``least``
-    must share, so only texts with something in common are compared.
+    Two sets of that similarity share a word among the first
+    n - ceil(least * n) + 1 of each, in any common order.  With the rarest
+    words first, only texts that share a rare word meet, and only if their
+    sizes allow the similarity; the sets themselves join afterwards.
     """
-    def prefix(df: DataFrame, key: str) -> DataFrame:
-        words = df.select(F.col(key), F.array_sort(T.word_set(F.col("text"))).alias("w")).where(F.size("w") >= 2)
-        keep = F.size("w") - F.ceil(F.size("w") * F.lit(least)).cast("int") + 1
-        return words.select(key, "w", F.explode(F.slice("w", F.lit(1), keep)).alias("p"))
-
-    q, c = prefix(queries, "query_id"), prefix(cache, "key").withColumnRenamed("w", "v")
-    pairs = q.join(c, "p").drop("p").distinct()
-    scored = pairs.select("query_id", "key", T.jaccard(F.col("w"), F.col("v")).alias("similarity")).where(F.col("similarity") >= least)
+    sides = queries.select(F.lit(True).alias("q"), F.col("query_id").alias("id"), T.word_set(F.col("text")).alias("w")).unionByName(cache.select(F.lit(False).alias("q"), F.col("key").alias("id"), T.word_set(F.col("text")).alias("w"))).where(F.size("w") >= 2)
+    words = sides.select("q", "id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    common = words.groupBy("word").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("q", "id").orderBy("df", "word"))
+    prefix = words.join(common, "word").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    left = prefix.where("q").select("word", F.col("id").alias("query_id"), F.col("n").alias("_n"))
+    right = prefix.where("not q").select("word", F.col("id").alias("key"), F.col("n").alias("_m"))
+    pairs = left.join(right, "word").where((F.col("_m") >= F.col("_n") * least) & (F.col("_n") >= F.col("_m") * least)).select("query_id", "key").distinct()
+    sets = lambda on, kind, name: sides.where(kind).select(F.col("id").alias(on), F.col("w").alias(name))
+    scored = pairs.join(sets("query_id", "q", "w"), "query_id").join(sets("key", "not q", "v"), "key").select("query_id", "key", T.jaccard(F.col("w"), F.col("v")).alias("similarity")).where(F.col("similarity") >= least)
     best = F.max_by(F.struct("key", "similarity"), F.struct(F.col("similarity"), -F.col("key")))
     return scored.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.key", "b.similarity")
 
