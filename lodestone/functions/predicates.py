@@ -17,10 +17,10 @@ _SWIFT = r"^\s*(?:(?:fileprivate|private)\s+)?let\s+\w+\s*[=:]|^\s*(?:fileprivat
 CONSTANT = {
     "swift": _SWIFT,
     "javascript": r"^\s*const\s+\w+\s*=|^\s*readonly\s+\w|Object\.(?:freeze|seal)\(",
-    "python": r"^\s*[A-Z][A-Z0-9_]+\s*=|@final|Final\[|(?:frozenset|tuple)\(",
+    "python": r"@final|Final\[|(?:frozenset|tuple)\(|^\s*[A-Z][A-Z\d_]+\s*=",
     "rust": r"^\s*(?:const|static)\s+\w|Lazy<",
 }
-IMMUTABLE = r"(?:const|let)\s+\w+\s*=\s*\[|(?:frozenset|tuple)\s*\(|Object\.freeze\s*\(\s*\[|readonly\s+\w+\s*:\s*\["
+IMMUTABLE = r"(?:const|let)\s+\w+\s*=\s*\[|(?:frozenset|tuple)\s*\(|Object\.freeze\s*\(\s*\[|readonly\s[\s\w]*:\s*\["
 COMPILE_TIME = r"Bundle\.main|Bundle\(for:|FileManager\.default\.urls\(|UIScreen\.main|UIDevice\.current|ProcessInfo\.processInfo|NSLocale\.current|TimeZone\.current|process\.env\.|__dirname|__filename|import\.meta\."
 
 

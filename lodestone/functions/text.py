@@ -124,7 +124,7 @@ def query_mode(query: Column) -> Column:
 
 def scan_mode(kind: Column) -> Column:
     """The batch scan of a query type."""
-    return F.when(kind.isin("security", "ios", "quality", "web", "rust", "node"), kind).otherwise("all")
+    return F.when(kind.isin("ios", "node", "quality", "rust", "security", "web"), kind).otherwise("all")
 
 
 def relevance_threshold(query: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..sources.corpus import extension_of, lines
 from . import chunks
-from .rules import Rule, rule_hits
+from .rules import Rule, expanded, rule_hits
 
 _KINDS = (("ios", (".swift", ".m", ".mm")), ("python", (".py",)), ("node", (".js", ".jsx", ".ts", ".tsx", ".vue")), ("rust", (".rs",)), ("go", (".go",)), ("java", (".java", ".kt")))
 _KEY_FILES = r"(?i)(?:^|/)(?:readme\.md|package\.json|pyproject\.toml|setup\.py|cargo\.toml|go\.mod|package\.swift|podfile|info\.plist|dockerfile|makefile)$"
@@ -51,16 +51,16 @@ def priority_files(files: DataFrame, most: int = 50) -> DataFrame:
 #: category -> (question words that select it, suffixes or none, severity, rules as (pattern, description)).
 OFFLINE = {
     "hardcoded_secrets": (("secur", "secret", "password", "credential", "key"), (), "CRITICAL", [(r"(?:api_?key|passw(?:or)?d|secret|token)\s*[:=]\s*[\"'][^\"']{6,}[\"']", "Sensitive value in a literal"), (r"AKIA[0-9A-Z]{16}", "Cloud key id"), (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "Private key"), (r"gh[pousr]_[A-Za-z0-9]{30,}", "Code host token"), (r"sk-[A-Za-z0-9]{20,}", "Service key")]),
-    "sql_injection": (("secur", "sql", "inject", "database"), (".py", ".js", ".ts", ".java", ".php", ".rb", ".go"), "HIGH", [(r"(?:execute|query)\s*\(\s*f[\"']", "Interpolated statement"), (r"(?:DELETE|INSERT|SELECT|UPDATE)\s.*[\"']\s*\+", "Concatenated statement"), (r"(?:DELETE|INSERT|SELECT|UPDATE)\s.*\$\{", "Template statement"), (r"(?:execute|query)\s*\(.*%\s*\(?\w", "Formatted statement")]),
-    "command_injection": (("secur", "command", "shell", "inject"), (".py", ".js", ".ts", ".rb"), "HIGH", [(r"os\.(?:popen|system)\s*\(", "Shell command"), (r"shell\s*=\s*True", "Subprocess in a shell"), (r"child_process", "Child process"), (r"\beval\s*\(", "eval")]),
+    "sql_injection": (("secur", "sql", "inject", "database"), (".go", ".java", ".js", ".php", ".py", ".rb", ".ts"), "HIGH", [(r"(?:execute|query)~\(~f<q>", "Interpolated statement"), (r"(?:DELETE|INSERT|SELECT|UPDATE)\s.*[\"']\s*\+", "Concatenated statement"), (r"(?:DELETE|INSERT|SELECT|UPDATE)\s.*\$\{", "Template statement"), (r"(?:execute|query)\s*\(.*%\s*\(?\w", "Formatted statement")]),
+    "command_injection": (("secur", "command", "shell", "inject"), (".js", ".py", ".rb", ".ts"), "HIGH", [(r"os\.(?:popen|system)\s*\(", "Shell command"), (r"shell\s*=\s*True", "Subprocess in a shell"), (r"child_process", "Child process"), (r"\beval\s*\(", "eval")]),
     "path_traversal": (("secur", "path", "travers"), (), "MEDIUM", [(r"\.\./\.\./", "Relative path upwards"), (r"open\s*\(.*(?:input|request|argv)", "File named by input")]),
     "force_unwrap": (("crash", "ios", "swift", "unwrap"), (".swift",), "MEDIUM", [(r"\btry!", "Forced try"), (r"\bas!\s", "Forced cast"), (r"\w![.\[)]", "Forced unwrap"), (r"\.first!|\.last!", "Forced element"), (r"URL\(string:[^)]*\)!", "Forced address")]),
     "retain_cycles": (("ios", "leak", "memory", "retain", "swift"), (".swift",), "MEDIUM", [(r"\.sink\s*\{[^\[]*self\.", "Sink holds self"), (r"delegate\s*:\s*\w+\??\s*$", "Strong delegate"), (r"Timer\.scheduledTimer", "Timer may hold self")]),
     "actor_isolation": (("actor", "concurren", "ios", "swift", "thread"), (".swift",), "MEDIUM", [(r"nonisolated\(unsafe\)", "Isolation bypassed"), (r"DispatchQueue\.main\.sync", "Synchronous dispatch to main")]),
     "sendable": (("concurren", "sendable", "swift"), (".swift",), "MEDIUM", [(r"@unchecked\s+Sendable", "Unchecked Sendable"), (r"@preconcurrency", "Checks silenced")]),
-    "swiftui_lifecycle": (("ios", "swiftui", "view"), (".swift",), "LOW", [(r"@ObservedObject\s+var\s+\w+\s*=", "Observed object created in place"), (r"\.onAppear\s*\{.*Task", "Task on appearance")]),
+    "swiftui_lifecycle": (("ios", "swiftui", "view"), (".swift",), "LOW", [(r"@ObservedObject~~var~~<w>~=", "Observed object built where it is observed"), (r"\.onAppear\s*\{.*Task", "Task on appearance")]),
     "urls": (("config", "http", "network", "url"), (), "LOW", [(r"http://[\w.-]+", "Plain address")]),
-    "prints": (("debug", "log", "print", "quality"), (".py", ".js", ".ts", ".swift"), "LOW", [(r"^\s*print\s*\(", "Print"), (r"console\.log\s*\(", "Console log")]),
+    "prints": (("debug", "log", "print", "quality"), (".js", ".py", ".swift", ".ts"), "LOW", [(r"^\s*print\s*\(", "Print"), (r"console\.log\s*\(", "Console log")]),
     "swiftdata": (("data", "ios", "persist", "swiftdata"), (".swift",), "MEDIUM", [(r"@Model\s+(?:final\s+)?class", "Model class"), (r"@Relationship", "Relationship"), (r"VersionedSchema|SchemaMigrationPlan", "Migration"), (r"FetchDescriptor<", "Fetch")]),
     "cloud_sync": (("cloud", "ios", "sync"), (".swift",), "MEDIUM", [(r"CK(?:Database|ModifyRecords)\w*", "Cloud operation")]),
     "core_data": (("core data", "ios", "thread"), (".swift",), "MEDIUM", [(r"viewContext", "Main context"), (r"performAndWait", "Blocking context call")]),
@@ -77,14 +77,14 @@ def offline_analysis(files: DataFrame, question: str) -> DataFrame:
     """
     low = question.lower()
     chosen = [c for c, (w, *_) in OFFLINE.items() if any(x in low for x in w)] or ["hardcoded_secrets", "sql_injection", "command_injection", "path_traversal"]
-    rules = [Rule(c, k + 1, OFFLINE[c][2], p, d, c, suffixes=OFFLINE[c][1], skip=("comment",) if c not in ("todo", "debug_code") else ()) for c in chosen for k, (p, d) in enumerate(OFFLINE[c][3])]
+    rules = [Rule(c, k + 1, OFFLINE[c][2], expanded(p), d, c, suffixes=OFFLINE[c][1], skip=("comment",) if c not in ("todo", "debug_code") else ()) for c in chosen for k, (p, d) in enumerate(OFFLINE[c][3])]
     found = rule_hits(lines(files), rules)
     return found.orderBy(F.desc(P.rank(F.col("severity"), P.SEVERITY_RANK)), "file_seq", "line", "tool", "rule_seq")
 
 
 def quick_scan(files: DataFrame) -> DataFrame:
     """(category, n): all matches over whole contents, every category."""
-    counts = [F.sum(sum((F.regexp_count("content", F.lit("(?im)" + p)) for p, _ in r), F.lit(0))).alias(c) for c, (_, _, _, r) in OFFLINE.items()]
+    counts = [F.sum(sum((F.regexp_count("content", F.lit("(?im)" + expanded(p))) for p, _ in r), F.lit(0))).alias(c) for c, (_, _, _, r) in OFFLINE.items()]
     wide = files.agg(*counts)
     return wide.select(F.explode(F.map_filter(F.create_map(*[x for c in OFFLINE for x in (F.lit(c), F.col(c))]), lambda k, v: v > 0)).alias("category", "n"))
 

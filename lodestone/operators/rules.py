@@ -14,7 +14,6 @@ from .rulesets import RULES, SENSITIVE, SHORTHAND
 SEVERITY = {"C": "CRITICAL", "H": "HIGH", "M": "MEDIUM", "L": "LOW", "I": "INFO"}
 #: What makes innerHTML and its like safe, on the line or the five before it.
 SANITIZER = r"(?:encodeHTML|escape|escapeHtml|htmlEncode|purify|safeHTML|sanitize|sanitizeHtml|xss)\s*\(|DOMPurify\.sanitize|createTextNode|(?:textContent|\.innerText)\s*=|validator\.escape|(?:entities|he)\.encode"
-SAFE_TRY = r"static\s+let\s+\w+\s*=\s*try!|NSRegularExpression|JSON(?:De|En)coder|(?:Date|Number)Formatter"
 
 
 @dataclass(frozen=True)
@@ -42,6 +41,10 @@ def expanded(pattern: str) -> str:
     return pattern.replace("@KEYS", SENSITIVE)
 
 
+#: What may be forced: constants and fixed coders and formatters.
+SAFE_TRY = expanded(r"(?:Date|Number)Formatter|JSON(?:De|En)coder|NSRegularExpression|static~~let~~<w>~=~try!")
+
+
 def parsed(text: str = RULES) -> dict[str, list[Rule]]:
     tools: dict[str, list[Rule]] = {}
     base: Rule | None = None

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..sources.corpus import lines
-from .rules import FINDING_COLUMNS, SANITIZER, TOOLS, Rule, rule_hits, suffix_condition
+from .rules import FINDING_COLUMNS, SANITIZER, TOOLS, Rule, expanded, rule_hits, suffix_condition
 from .rulesets import BATCHES
 
 SCHEMA = "tool string, rule_seq int, file_seq long, file string, line int, code string, issue string, confidence string, severity string, fix string, category string"
@@ -105,7 +105,7 @@ _UNWRAPS = (
     (re.compile(r"(?i)[a-z_]\w*!(?!=)"), "Value is force-unwrapped", "MEDIUM", False),
     (re.compile(r"(?i)\btry!\s+"), "Forced try", "HIGH", True),
     (re.compile(r"(?i)\bas!\s+"), "Forced cast", "MEDIUM", False),
-    (re.compile(r"(?i):\s*[a-z][\w<>,\s]*!(?!=)\s*[={]"), "Implicitly unwrapped type", "LOW", False),
+    (re.compile(expanded(r"(?i):~[a-z][\w<>,\s]*!(?!=)~[={]")), "Implicitly unwrapped type", "LOW", False),
 )
 
 
@@ -180,11 +180,11 @@ def force_unwraps(files: DataFrame) -> DataFrame:
 
 
 _HOLDERS = tuple(
-    (re.compile("(?i)" + p), issue, severity)
+    (re.compile("(?i)" + expanded(p)), issue, severity)
     for p, issue, severity in (
-        (r"\.sink\s*\{", "Combine sink", "MEDIUM"), (r"\.sink\s*\(\s*receiveValue:\s*\{", "Combine value sink", "MEDIUM"), (r"Timer\.scheduledTimer[^{]*\{", "Timer closure", "HIGH"),
-        (r"Timer\.publish[^{]*\.sink\s*\{", "Timer sink", "HIGH"), (r"NotificationCenter[^{]*addObserver[^{]*\{", "Notification observer", "HIGH"), (r"\.publisher\(for:[^{]*\.sink\s*\{", "Notification sink", "MEDIUM"),
-        (r"DispatchQueue\.[^{]*\.async[^{]*\{", "Dispatched closure", "LOW"), (r"\.asyncAfter[^{]*\{", "Delayed closure", "MEDIUM"), (r"URLSession[^{]*\{", "Network completion", "MEDIUM"),
+        (r"\.sink~\{", "Combine sink", "MEDIUM"), (r"\.sink~\(~receiveValue:~\{", "Combine value sink", "MEDIUM"), (r"Timer\.scheduledTimer<h>\{", "Timer closure", "HIGH"),
+        (r"Timer\.publish<h>\.sink~\{", "Timer sink", "HIGH"), (r"NotificationCenter<h>addObserver<h>\{", "Notification observer", "HIGH"), (r"\.publisher\(for:<h>\.sink~\{", "Notification sink", "MEDIUM"),
+        (r"DispatchQueue\.<h>\.async<h>\{", "Dispatched closure", "LOW"), (r"\.asyncAfter<h>\{", "Delayed closure", "MEDIUM"), (r"URLSession<h>\{", "Network completion", "MEDIUM"),
     )
 )
 
@@ -280,7 +280,7 @@ def mainactor_issues(files: DataFrame) -> DataFrame:
     return per_file(files, "mainactor_issues", _ends(".swift") & (_has("ObservableObject") | view_model), _mainactor)
 
 
-_OPENS = re.compile(r"(?:function\s*\(|=>\s*\{|\(\s*(?:err|error|e)\s*(?:,|\)\s*=>))")
+_OPENS = re.compile(expanded(r"\(~(?:e|err|error)~(?:\)~=>|,)|=>~\{|function~\("))
 
 
 def _callback_hell(path: str, rows: list[str], content: str) -> list[tuple]:
@@ -299,12 +299,12 @@ def _callback_hell(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def callback_hell(files: DataFrame) -> DataFrame:
-    return per_file(files, "callback_hell", _ends(".js", ".mjs", ".cjs", ".ts"), _callback_hell)
+    return per_file(files, "callback_hell", _ends(".cjs", ".js", ".mjs", ".ts"), _callback_hell)
 
 
 def code_smells(files: DataFrame) -> DataFrame:
     """Magic numbers, deep nesting and long parameter lists, as built-in expressions."""
-    allowed = [80, 443, 8080, 3000, 5000, 8000, 1000, 1024, 2048, 4096]
+    allowed = [80, 443, 1000, 1024, 2048, 3000, 4096, 5000, 8000, 8080]
     ls = lines(files)
     code = F.substring(P.stripped(F.col("line")), 1, 100)
 
@@ -312,9 +312,9 @@ def code_smells(files: DataFrame) -> DataFrame:
         return df.select(F.lit("code_smells").alias("tool"), F.lit(seq).alias("rule_seq"), "file_seq", F.col("path").alias("file"), F.col("line_no").alias("line"), text.alias("code"), issue.alias("issue"), F.lit(conf).alias("confidence"), F.lit(severity).alias("severity"), F.lit(fix).alias("fix"), F.lit(category).alias("category"))
 
     digits = ls.where(~P.is_test_path(F.col("path")) & ~P.is_comment(F.col("line")) & F.col("line").rlike(r"\d{3}"))
-    numbers = digits.withColumn("number", F.explode(F.regexp_extract_all("line", F.lit(r"(?<![a-zA-Z_\d.])([3-9]\d{2,}|[1-9]\d{3,})(?![\d.])"), F.lit(1)))).where(~F.col("number").isin(*map(str, allowed)))
-    deep = ls.where(F.col("line").rlike(r"^(?:\s{16,}|\t{4,})\S"))
-    heads = files.select("file_seq", "path", F.explode(F.regexp_extract_all("content", F.lit(r"(def\s+\w+\s*\([^)]*(?:,\s*[^)]*){4}\))"), F.lit(1))).alias("head"), "content")
+    numbers = digits.withColumn("number", F.explode(F.regexp_extract_all("line", F.lit(r"(?<![\w.])([1-9]\d{3,}|[3-9]\d\d)(?![\d.])"), F.lit(1)))).where(~F.col("number").isin(*map(str, allowed)))
+    deep = ls.where(F.col("line").rlike(r"^(?:\t{4}|\s{16})\s*\S"))
+    heads = files.select("file_seq", "path", F.explode(F.regexp_extract_all("content", F.lit(expanded(r"(def~~<w>~\((?:<p>,){4}<p>\))")), F.lit(1))).alias("head"), "content")
     heads = heads.withColumn("line_no", F.size(F.split(F.expr("substring(content, 1, locate(head, content))"), "\n")))
     return (
         finding(numbers, 1, F.concat(F.lit("Magic number: "), F.col("number")), "LOW", "LOW", "Name the constant", "magic_number")

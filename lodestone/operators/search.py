@@ -51,7 +51,7 @@ def grep(files: DataFrame, pattern: str, mode: str = "content", cap: int = 1000,
     return found.groupBy("path").agg(F.count("*").alias("n_matches"))
 
 
-def custom_search(files: DataFrame, pattern: str, description: str = "Custom match", suffix: str | None = None, confidence: str = "HIGH", severity: str = "MEDIUM", category: str = "custom", exclude_comments: bool = True, exclude_tests: bool = False, max_results: int = 100) -> DataFrame:
+def custom_search(files: DataFrame, pattern: str, description: str = "Custom match", suffix: str | None = None, max_results: int = 100, exclude_tests: bool = False, exclude_comments: bool = True, category: str = "custom", severity: str = "MEDIUM", confidence: str = "HIGH") -> DataFrame:
     """Scored findings of one pattern, the first ``max_results`` in file order.
 
     The given confidence acts as a floor when it is HIGH and as a ceiling when

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.corpus import lines
+from .rules import expanded
 
+_BOUND = "^~(?:const|let|var)~~(<w>)~=~(?:async~)?\\("
 #: suffix -> how a function starts there; group 1 is its name.
 STARTS = {
-    ".py": r"^\s*def\s+(\w+)\s*\(",
-    ".swift": r"^\s*(?:async\s+)?func\s+(\w+)\s*\(",
-    ".js": r"^\s*(?:async\s+)?function\s+(\w+)\s*\(",
-    ".ts": r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(",
-    ".java": r"^\s*(?:private|protected|public)?\s*(?:static\s+)?(?:\w+\s+)+(\w+)\s*\(",
-    ".rs": r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)",
-    ".go": r"^\s*func\s+(\w+)",
-}
+    suffix: expanded(pattern)
+    for suffix, pattern in {
+        ".py": "^~def~~(<w>)~\\(", ".go": "^~func~~(<w>)", ".rs": "^~(?:pub~~)?(?:async~~)?fn~~(<w>)", ".ts": _BOUND,
+        ".swift": "^~(?:async~~)?func~~(<w>)~\\(", ".js": "^~(?:async~~)?function~~(<w>)~\\(",
+        ".java": "^~(?:private|protected|public)?~(?:static~~)?(?:<w>~~)+(<w>)~\\(",
+    }.items()
+}
 _COMPLEX_STARTS = {k: STARTS[k] for k in (".py", ".swift", ".js")} | {".ts": STARTS[".js"]}
 #: Each match adds one; boolean operators count between word characters only.
 BRANCHES = [rf"(?iu)\b{w}\b" for w in ("if", "elif", "else", "for", "while", "try", "except", "catch", "case", "guard", "switch")] + [r"(?iu)\b(?:&&|\|\||and|or)\b", r"\?.*:"]
@@ -92,12 +93,20 @@ def lines_in_regions(refs: DataFrame, regions: DataFrame) -> DataFrame:
     return hit.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_p")
 
 
+_FROM, _BIND = "~~from~~<q>([^'\"]+)<q>", "(?:const|let|var)~~"
+_CALL = "\\(<q>([^'\"]+)<q>\\)"
 #: kind -> pattern of module imports; groups are what is imported and from where.
 IMPORTS = {
-    "named": r"import\s+\{([^}]+)\}\s+from\s+['\"]([^'\"]+)['\"]", "default": r"import\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]", "namespace": r"import\s+\*\s+as\s+(\w+)\s+from\s+['\"]([^'\"]+)['\"]",
-    "side_effect": r"import\s+()['\"]([^'\"]+)['\"]", "required_named": r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*require\(['\"]([^'\"]+)['\"]\)", "required": r"(?:const|let|var)\s+(\w+)\s*=\s*require\(['\"]([^'\"]+)['\"]\)", "dynamic": r"()import\(['\"]([^'\"]+)['\"]\)",
+    kind: expanded(pattern)
+    for kind, pattern in {
+        "dynamic": "()import" + _CALL, "side_effect": "import~~()<q>([^'\"]+)<q>", "namespace": "import~~\\*~~as~~(<w>)" + _FROM, "default": "import~~(<w>)" + _FROM,
+        "named": "import~~\\{([^}]+)\\}" + _FROM, "required": _BIND + "(<w>)~=~require" + _CALL, "required_named": _BIND + "\\{([^}]+)\\}~=~require" + _CALL,
+    }.items()
+}
+EXPORTS = {
+    kind: expanded(pattern)
+    for kind, pattern in {"module": "module\\.exports~=~(\\{[^}]+\\}|<w>)", "named": "export~~\\{([^}]+)\\}", "default": "export~~default~~(<w>)", "declaration": "export~~(?:class|const|function|interface|let|type|var)~~(<w>)"}.items()
 }
-EXPORTS = {"declaration": r"export\s+(?:class|const|function|interface|let|type|var)\s+(\w+)", "default": r"export\s+default\s+(\w+)", "named": r"export\s+\{([^}]+)\}", "module": r"module\.exports\s*=\s*(\{[^}]+\}|\w+)"}
 
 
 def import_edges(files: DataFrame) -> DataFrame:
