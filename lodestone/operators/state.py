@@ -83,11 +83,15 @@ def not_expired(cache: DataFrame, now: Column, ttl_seconds: int, inclusive: bool
 def nearest_by_vector(queries: DataFrame, cache: DataFrame, least: float = 0.85) -> DataFrame:
     """(query_id, key, similarity): the most similar cached vector, of equals the least key, if it reaches ``least``.
 
-    All pairs are compared.  The cached side is broadcast by Spark only below
+    All pairs are compared, with norms taken once a vector.  The cached side is broadcast by Spark only below
     its threshold; otherwise the pairs are made by a partitioned product.
     """
-    pairs = queries.select("query_id", F.col("embedding").alias("_q")).crossJoin(cache.select("key", F.col("embedding").alias("_c")))
-    scored = pairs.select("query_id", "key", T.cosine(F.col("_q"), F.col("_c")).alias("similarity")).where(F.col("similarity") >= least)
+    norm = F.sqrt(T.dot(F.col("embedding"), F.col("embedding")))
+    left = queries.select("query_id", F.col("embedding").alias("_q"), norm.alias("_m"))
+    right = cache.select("key", F.col("embedding").alias("_c"), norm.alias("_n"))
+    norms = F.col("_m") * F.col("_n")
+    similarity = F.when((F.size("_q") == F.size("_c")) & (norms > 0), T.dot(F.col("_q"), F.col("_c")) / norms).otherwise(0.0)
+    scored = left.crossJoin(right).select("query_id", "key", similarity.alias("similarity")).where(F.col("similarity") >= least)
     best = F.max_by(F.struct("key", "similarity"), F.struct(F.col("similarity"), -F.col("key")))
     return scored.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.key", "b.similarity")
 

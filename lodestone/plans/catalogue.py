@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return corpus.spread(df) if name in ("documents", "pages") else df
+    return corpus.spread(df) if name in ("documents", "embeddings", "pages") else df
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
