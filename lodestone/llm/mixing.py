@@ -51,13 +51,18 @@ def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     return placed.select("doc_id", "source", "tokens", F.floor(F.col("start") / block_tokens).cast("long").alias("block"))
 
 
-def source_weights(placed: DataFrame, alpha: float = ALPHA, max_epochs: int = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, targets: dict[str, float] | None = None) -> DataFrame:
+def source_weights(placed: DataFrame, alpha: float = ALPHA, max_epochs: int = MAX_EPOCHS, block_tokens: int = BLOCK_TOKENS, targets: dict[str, float] | None = None, all_tokens: bool = False) -> DataFrame:
     """(source, blocks, lo, hi): each source's share of the 2**32 points.
 
     The target is the share of tokens to the power ``alpha`` (or what
     ``targets`` gives), and no more than ``max_epochs`` of what the source has.
+    A source has blocks up to the last in which a document begins; with
+    ``all_tokens`` up to the last that its tokens reach.
     """
-    per = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), (F.max("block") + 1).alias("blocks")).where("tokens > 0")
+    blocks = F.max("block") + 1
+    if all_tokens:
+        blocks = F.greatest(blocks, F.floor((F.sum("tokens") + block_tokens - 1) / block_tokens))
+    per = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), blocks.alias("blocks")).where("tokens > 0")
     every = Window.partitionBy()
     share = per.withColumn("share", F.col("tokens") / F.sum("tokens").over(every))
     if targets is None:
@@ -82,7 +87,7 @@ def schedule(weights: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return ranked.select("slot", "source", F.pmod("rank", "blocks").alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, alpha: float = ALPHA, block_tokens: int = BLOCK_TOKENS, max_epochs: int = MAX_EPOCHS, targets: dict[str, float] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, alpha: float = ALPHA, block_tokens: int = BLOCK_TOKENS, max_epochs: int = MAX_EPOCHS, targets: dict[str, float] | None = None, all_tokens: bool = False) -> DataFrame:
     """(slot, source, block, epoch, doc_id, tokens): the documents of every slot of the schedule.
 
     A document longer than a block fills later blocks too; such a block may
@@ -90,19 +95,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     and are left out.  Null and empty texts count no token and come with the
     block they fall in; a source without tokens gets no slot.  Repeated rows
     are placed each.  An empty table gives no row.
+
+    Without ``all_tokens`` the blocks are counted as the SQL twin does, by
+    where documents begin: a source whose last document is long seems short
+    and ends the schedule of all sources early.
     """
     placed = checkpoint(laid_out(docs, id_col, text_col, source_col, seed, block_tokens))
-    plan = schedule(source_weights(placed, alpha, max_epochs, block_tokens, targets), max_epochs)
+    plan = schedule(source_weights(placed, alpha, max_epochs, block_tokens, targets, all_tokens), max_epochs)
     return placed.join(plan, ["source", "block"]).select("slot", "source", "block", "epoch", "doc_id", "tokens")
 
 
 def keep_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The scheduled documents in the schedule's order within each partition, with the columns that came.
 
-    A document scheduled in several epochs comes once an epoch.
+    A document scheduled in several epochs comes once an epoch.  The blocks
+    count all tokens, so a source that is one long document cuts no other.
     """
     key, slot = fresh("slot_id", docs), fresh("slot", docs)
-    slots = mixed(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias(key), F.col("slot").alias(slot)).distinct()
+    slots = mixed(docs, id_col, text_col, source_col, **{"all_tokens": True} | options).select(F.col("doc_id").alias(key), F.col("slot").alias(slot)).distinct()
     run = F.floor(F.col(slot) / 256)  # slots that stay together
     return docs.join(slots, F.col(id_col) == F.col(key)).repartition(run).sortWithinPartitions(slot).drop(key, slot)
 

@@ -163,6 +163,15 @@ def test_mixing_equals_sql(spark, odd, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.keep_mixed(empty).count() == 0
 
 
+def test_a_source_of_one_long_document_cuts_no_other(spark):
+    rows = [(k, "w" * 4000, "en", f"s{k % 10}") for k in range(1000)] + [(1000, "w" * 400_000, "en", "long")]
+    docs = documents(spark, rows)
+    kept = mixing.keep_mixed(docs, block_tokens=4000).toPandas()
+    others = kept[kept.source != "long"]
+    assert not kept.duplicated("doc_id").any() and len(others) > 0.9 * 1000
+    assert others.groupby("source").size().min() > 0.8 * 100
+
+
 def test_running_start_over_many_parts(spark):
     rng = np.random.default_rng(4)
     rows = [("a" if k % 5 else "b", int(p), k, int(v)) for k, (p, v) in enumerate(zip(rng.integers(0, 20, 500), rng.integers(0, 9, 500)))]
