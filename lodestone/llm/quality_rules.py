@@ -4,9 +4,10 @@ A public vocabulary measures each document: characters per token, share of
 byte-fallback tokens, and token entropy (of the document's token counts, as a
 share of the greatest entropy that its token count allows).  A document is
 rejected if a measure lies outside the band of its language and length class.
-A band is the median of all documents of the class plus and minus ``width``
-normal-scaled median deviations, both read off exact integer histograms, so
-they cover the whole corpus and don't depend on partitioning.
+A band is the median of all distinct texts of the class plus and minus
+``width`` normal-scaled median deviations, both read off exact integer
+histograms, so they cover the whole corpus and don't depend on partitioning.
+However often a text is copied, it counts once.
 """
 
 from __future__ import annotations
@@ -51,19 +52,20 @@ def measures(texts: list[str | None], vocabulary) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
-    """(doc_id, lang, n_tokens, the three measures) for every row; a null language is the language ''."""
+    """(doc_id, lang, text_hash, n_tokens, the three measures) for every row; a null language is the language ''."""
 
     def work(keys: pa.Array, texts: list) -> dict:
-        return {"doc_id": keys.field(0), "lang": keys.field(1)} | measures(texts, load(vocabulary, folder))
+        return {"doc_id": keys.field(0), "lang": keys.field(1), "text_hash": keys.field(2)} | measures(texts, load(vocabulary, folder))
 
-    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")).alias("key"), F.col(text_col).alias("text"))
-    return map_texts(keyed, "key", "text", work, "doc_id long, lang string, n_tokens long, chars_per_token double, byte_share double, entropy double")
+    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")).alias("key"), F.col(text_col).alias("text"))
+    return map_texts(keyed, "key", "text", work, "doc_id long, lang string, text_hash long, n_tokens long, chars_per_token double, byte_share double, entropy double")
 
 
-def _binned(m: DataFrame) -> DataFrame:
-    """One row a document and measure: lang, length_class, measure, bin."""
+def _binned(m: DataFrame, once: bool) -> DataFrame:
+    """One row a document and measure, or with ``once`` a distinct text of a language and measure: lang, length_class, measure, bin."""
     cells = F.array(*[F.struct(F.lit(name).alias("measure"), F.round(F.col(name) * k).cast("long").alias("bin")) for name, k in BINS.items()])
-    return m.select("lang", length_class(F.col("n_tokens")).alias("length_class"), F.inline(cells))
+    rows = m.select("lang", length_class(F.col("n_tokens")).alias("length_class"), "text_hash", cells.alias("cells"))
+    return (rows.distinct() if once else rows).select("lang", "length_class", F.inline("cells"))
 
 
 def length_class(n_tokens):
@@ -78,10 +80,13 @@ def _weighted_median(counts: DataFrame, keys: list[str], value: str, out: str) -
     return run.where("2 * _below >= _all").groupBy(*keys).agg(F.min(value).alias(out), F.first("_all").alias("docs"))
 
 
-def bands(m: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, length_class, measure, low, high) in bins; classes of fewer than ``least_docs`` documents have no band."""
+def bands(m: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOCS, once: bool = True) -> DataFrame:
+    """(lang, length_class, measure, low, high) in bins; classes of fewer than ``least_docs`` documents have no band.
+
+    With ``once`` a text counts once however often it is copied.
+    """
     keys = ["lang", "length_class", "measure"]
-    counts = _binned(m).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counts = _binned(m, once).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
     middle = _weighted_median(counts, keys, "bin", "middle").where(F.col("docs") >= least_docs).drop("docs")
     off = counts.join(middle, keys).withColumn("off", F.abs(F.col("bin") - F.col("middle"))).groupBy(*keys, "middle", "off").agg(F.sum("n").alias("n"))
     spread = _weighted_median(off, [*keys, "middle"], "off", "spread")
@@ -89,17 +94,19 @@ def bands(m: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOCS) -> D
     return spread.select(*keys, (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, least_docs: int = LEAST_DOCS, vocabulary: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, least_docs: int | None = None, vocabulary: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
     """(doc_id, lang, n_tokens, chars_per_token, byte_share, entropy, reasons, keep) for every document.
 
     ``reasons`` lists the measures outside their band, sorted.  Null or blank
     texts have no token and are rejected as 'empty'; they are left out of the
     bands.  A null language is the language ''.  An empty table gives no row.
-    Rows that repeat are judged each on its own.
+    Rows that repeat are judged each on its own.  ``least_docs`` asks for the
+    plain bands: over all rows, copies counted each, and none for a class of
+    fewer rows.
     """
     m = checkpoint(measured(docs, id_col, text_col, lang_col, vocabulary, folder))
     low_high = F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high"))))
-    by_class = bands(m.where("n_tokens > 0"), width, least_docs).groupBy("lang", "length_class").agg(low_high.alias("band"))
+    by_class = bands(m.where("n_tokens > 0"), width, LEAST_DOCS if least_docs is None else least_docs, least_docs is None).groupBy("lang", "length_class").agg(low_high.alias("band"))
     at = {name: F.round(F.col(name) * k) for name, k in BINS.items()}
     outside = [F.when((at[x] < F.col("band")[x]["low"]) | (at[x] > F.col("band")[x]["high"]), F.lit(x)) for x in sorted(BINS)]
     reasons = F.when(F.col("n_tokens") == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*outside)))

@@ -46,6 +46,17 @@ def test_rules_keep_clean_and_reject_junk(spark):
     assert m[m.quality == 0].keep.mean() < 0.35
 
 
+def test_copies_in_the_majority_reject_no_clean_document(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before = quality_rules.judged(docs).toPandas()
+    size = np.floor(2 * np.log2(before.n_tokens.clip(lower=1)))
+    clean = before[before.keep & (before.lang == "en") & (size == 16)].sort_values("entropy")
+    copied = docs.where(f"doc_id = {clean.doc_id.iloc[0]}").selectExpr("explode(sequence(10000001L, 10000400L)) AS doc_id", "text", "lang")
+    after = quality_rules.judged(docs.unionByName(copied)).toPandas().set_index("doc_id")
+    assert after.loc[clean.doc_id].keep.all() and len(clean) > 20
+    assert before.set_index("doc_id").keep.equals(after.loc[before.doc_id].keep)
+
+
 def test_rules_on_odd_rows(odd, empty):
     got = quality_rules.judged(odd).toPandas()
     assert len(got) == odd.count()
