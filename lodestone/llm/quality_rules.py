@@ -80,18 +80,59 @@ def _weighted_median(counts: DataFrame, keys: list[str], value: str, out: str) -
     return run.where("2 * _below >= _all").groupBy(*keys).agg(F.min(value).alias(out), F.first("_all").alias("docs"))
 
 
-def bands(m: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOCS, once: bool = True) -> DataFrame:
-    """(lang, length_class, measure, low, high) in bins; classes of fewer than ``least_docs`` documents have no band.
+def _trend_bands(counts: DataFrame, width: float, least_docs: int) -> DataFrame:
+    """(lang, length_class, measure, low, high) of every class.
+
+    A class of ``least_docs`` texts has its own median and deviations.  A
+    smaller one has the value there of a line through the medians of its
+    language's other classes (weights: texts, less by 1.3 a class away; not its
+    own, which a few texts make), and the median deviation from that line over the nearest classes that hold ``least_docs``
+    texts together; classes at one distance come together.  Deviations shrink
+    as the root of the token count, by 2 ** 0.25 a class.  A language of fewer
+    texts takes the classes of all languages; a corpus of fewer has no band.
+    """
+    of, at = ["mixed", "pool", "near"], ["lang", "length_class"]
+    of_all = counts.groupBy("length_class", "measure", "bin").agg(F.sum("n").alias("n")).select(F.lit(True).alias("mixed"), F.lit("").alias("pool"), F.col("length_class").alias("near"), "measure", "bin", "n")
+    pools = checkpoint(counts.select(F.lit(False).alias("mixed"), F.col("lang").alias("pool"), F.col("length_class").alias("near"), "measure", "bin", "n").unionByName(of_all))
+    middles = _weighted_median(pools, [*of, "measure"], "bin", "middle")
+    sizes = middles.where(F.col("measure") == next(iter(BINS))).select(*of, "docs", F.sum("docs").over(Window.partitionBy("mixed", "pool")).alias("total"))
+    own = sizes.where("not mixed").select(F.col("pool").alias("lang"), F.col("near").alias("length_class"), (F.col("total") < least_docs).alias("mixed"))
+    own = own.withColumn("pool", F.when(F.col("mixed"), "").otherwise(F.col("lang")))
+    pairs = own.join(sizes.where(F.col("total") >= least_docs), ["mixed", "pool"]).withColumn("x", F.col("near") - F.col("length_class"))
+    nearer = F.sum("docs").over(Window.partitionBy(*at).orderBy(F.abs("x")).rangeBetween(Window.unboundedPreceding, -1))
+    pairs = pairs.withColumn("used", F.coalesce(nearer, F.lit(0)) < least_docs)
+    pairs = checkpoint(pairs.withColumn("alone", F.max(F.when(F.col("used"), F.abs("x"))).over(Window.partitionBy(*at)) == 0).drop("docs", "total"))
+
+    w, x, y = F.col("docs") * F.pow(F.lit(1.3), -F.abs("x")), F.col("x"), F.col("middle")
+    sums = pairs.where("alone = (x = 0)").join(middles, of).groupBy(*at, "measure").agg(F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.count("*").alias("k"))
+    slope = F.when(F.col("k") > 1, F.expr("(w * wxy - wx * wy) / (w * wxx - wx * wx)")).otherwise(F.lit(0.0))
+    line = sums.withColumn("slope", slope).select(*at, "measure", F.round("slope", 6).alias("slope"), F.round(F.expr("(wy - slope * wx) / w"), 6).alias("middle"))
+    off = F.round(F.abs(F.col("bin") - F.col("middle") - F.col("slope") * x) * F.pow(F.lit(2.0), x / 4), 6)
+    keys = [*at, "measure", "middle"]
+    offs = pairs.where("used").join(pools, of).join(line, [*at, "measure"]).withColumn("off", off).groupBy(*keys, "off").agg(F.sum("n").alias("n"))
+    return _within(_weighted_median(offs, keys, "off", "spread"), width)
+
+
+def _within(spread: DataFrame, width: float) -> DataFrame:
+    reach = F.greatest("spread", F.lit(1)) * (1.4826 * width)
+    return spread.select("lang", "length_class", "measure", (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
+
 
-    With ``once`` a text counts once however often it is copied.
+def bands(m: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOCS, plain: bool = False) -> DataFrame:
+    """(lang, length_class, measure, low, high) in bins.
+
+    A text counts once however often it is copied, and a class of fewer than
+    ``least_docs`` texts is judged by its neighbours.  With ``plain`` every
+    row counts, and such a class has no band.
     """
     keys = ["lang", "length_class", "measure"]
-    counts = _binned(m, once).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counts = _binned(m, not plain).groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    if not plain:
+        return _trend_bands(counts, width, least_docs)
     middle = _weighted_median(counts, keys, "bin", "middle").where(F.col("docs") >= least_docs).drop("docs")
     off = counts.join(middle, keys).withColumn("off", F.abs(F.col("bin") - F.col("middle"))).groupBy(*keys, "middle", "off").agg(F.sum("n").alias("n"))
     spread = _weighted_median(off, [*keys, "middle"], "off", "spread")
-    reach = F.greatest("spread", F.lit(1)) * (1.4826 * width)
-    return spread.select(*keys, (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
+    return _within(spread, width)
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = WIDTH, least_docs: int | None = None, vocabulary: str = VOCABULARY, folder: str = FOLDER) -> DataFrame:
@@ -102,11 +143,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     bands.  A null language is the language ''.  An empty table gives no row.
     Rows that repeat are judged each on its own.  ``least_docs`` asks for the
     plain bands: over all rows, copies counted each, and none for a class of
-    fewer rows.
+    fewer rows.  Otherwise only a corpus of fewer than ``LEAST_DOCS`` distinct
+    texts is too small to judge; it is kept.
     """
     m = checkpoint(measured(docs, id_col, text_col, lang_col, vocabulary, folder))
     low_high = F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high"))))
-    by_class = bands(m.where("n_tokens > 0"), width, LEAST_DOCS if least_docs is None else least_docs, least_docs is None).groupBy("lang", "length_class").agg(low_high.alias("band"))
+    by_class = bands(m.where("n_tokens > 0"), width, LEAST_DOCS if least_docs is None else least_docs, least_docs is not None).groupBy("lang", "length_class").agg(low_high.alias("band"))
     at = {name: F.round(F.col(name) * k) for name, k in BINS.items()}
     outside = [F.when((at[x] < F.col("band")[x]["low"]) | (at[x] > F.col("band")[x]["high"]), F.lit(x)) for x in sorted(BINS)]
     reasons = F.when(F.col("n_tokens") == 0, F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(*outside)))

@@ -57,6 +57,39 @@ def test_copies_in_the_majority_reject_no_clean_document(spark):
     assert before.set_index("doc_id").keep.equals(after.loc[before.doc_id].keep)
 
 
+def test_small_classes_are_judged_by_the_nearest(spark, sf001):
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(10_000_000, "copper " * 9000, "en"), (10_000_001, "copper " * 9000, "xx")], docs.schema)
+    d = docs.unionByName(junk).toPandas()
+    got = quality_rules.judged(docs.unionByName(junk)).toPandas().set_index("doc_id").sort_index()
+    assert not got.loc[10_000_000].keep and not got.loc[10_000_001].keep
+    labels = pd.read_parquet(f"{sf001}/labels.parquet").set_index("doc_id").quality
+    kept = got.keep[labels.index]
+    assert kept[labels == 1].mean() > 0.95 and not kept[labels == 0].all()
+    # brute force over the distinct texts
+    got["text"], got["cls"] = d.set_index("doc_id").text, np.floor(2 * np.log2(got.n_tokens.clip(lower=1))).astype(int)
+    once = got[got.n_tokens > 0].drop_duplicates(["lang", "text"])
+    low_median = lambda x: sorted(x)[(len(x) + 1) // 2 - 1]
+    for i, r in got[got.n_tokens > 0].iterrows():
+        pool = once[once.lang == r.lang]
+        pool = pool if len(pool) >= quality_rules.LEAST_DOCS else once
+        away = abs(pool.cls - r.cls)
+        far = next(k for k in range(99) if (away <= k).sum() >= quality_rules.LEAST_DOCS)
+        want = []
+        for name, k in sorted(quality_rules.BINS.items()):
+            b = np.floor(pool[name] * k + 0.5)
+            x = pool.cls - r.cls
+            mid, slope = low_median(b[x == 0]), 0.0
+            if far:
+                per = pd.DataFrame({"mid": b[x != 0].groupby(x).agg(low_median), "size": b[x != 0].groupby(x).size()})
+                slope, mid = np.polyfit(per.index, per.mid, 1, w=np.sqrt(per["size"] * 1.3 ** -abs(per.index))) if len(per) > 1 else (0.0, per.mid.iloc[0])
+            off = (abs(b - mid - slope * x) * 2.0 ** (x / 4))[away <= far]
+            reach = max(low_median(off), 1) * 1.4826 * quality_rules.WIDTH
+            if abs(np.floor(r[name] * k + 0.5) - mid) > reach:
+                want.append(name)
+        assert list(r.reasons) == want, i
+
+
 def test_rules_on_odd_rows(odd, empty):
     got = quality_rules.judged(odd).toPandas()
     assert len(got) == odd.count()
