@@ -21,17 +21,29 @@ KINDS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/= \t\r\n]+)-----END",
     "service_key": r"(?:^|[^A-Za-z0-9_])((?:sk|pk|rk)[-_](?:live[-_]|test[-_]|proj-)?[A-Za-z0-9]{20,})(?:[^A-Za-z0-9_]|$)",
 }
+#: What the patterns consume at either side of a token, and the same without consuming it.
+_EDGES = {"(?:^|[^A-Za-z0-9_])": "(?<![A-Za-z0-9_])", "(?:^|[^a-z0-9])": "(?<![a-z0-9])", "(?:[^A-Za-z0-9_]|$)": "(?![A-Za-z0-9_])"}
 PLACEHOLDER = r"(?i)(?:example|change_?me|placeholder|dummy|sample|your[_-]|redacted|x{6,}|\*{4,}|<[a-z_ -]+>|^\$|^\{|0123456789|12345678|abcdefgh)"
 LEAST_DISTINCT = 8
 WIDE_OWNERS = 3
 
 
+def beside(pattern: str) -> str:
+    """The pattern in Java's syntax with edges that consume nothing, so that tokens one separator apart are all found.
+
+    RE2 has no look-around: the SQL twin misses every second of such tokens.
+    """
+    for consumed, kept in _EDGES.items():
+        pattern = pattern.replace(consumed, kept)
+    return pattern
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository=None) -> DataFrame:
     """(doc_id, owner, repository, kind, value): one row an occurrence; null texts have none, null owners are ''."""
     text = F.col(text_col)
 
     def of(kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        return F.transform(F.regexp_extract_all(text, F.lit(beside(pattern)), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
     found = [of(k, p) for k, p in sorted(KINDS.items())]
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
