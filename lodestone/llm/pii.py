@@ -7,7 +7,7 @@ Python runs; the rest go through compiled patterns in Arrow batches.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -63,23 +63,43 @@ class Kind:
     score: float
     near: re.Pattern
     against: re.Pattern
+    #: The characters before which a span that is not valid may end sooner.
+    cut: str
 
 
-def _kind(pattern: str, valid: Callable[[str], bool], score: float, near: str, against: str = r"(?!)") -> Kind:
-    return Kind(re.compile(pattern), valid, score, re.compile(rf"(?i)\b(?:{near})\b"), re.compile(rf"(?i)\b(?:{against})\b"))
+def _kind(pattern: str, valid: Callable[[str], bool], score: float, near: str, against: str = r"(?!)", cut: str = "") -> Kind:
+    return Kind(re.compile(pattern), valid, score, re.compile(rf"(?i)\b(?:{near})\b"), re.compile(rf"(?i)\b(?:{against})\b"), cut)
 
 
 #: In the order in which overlapping spans are settled.
 KINDS = {
     "email": _kind(r"(?<![\w.+-])[A-Za-z0-9_][\w.+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}(?![\w-])", always, 0.8, "e-?mail|mail|contact|kontakt|correo|courriel", "noreply|no-reply"),
-    "iban": _kind(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank|konto|cuenta|compte"),
-    "card": _kind(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", luhn, 0.75, "card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte|cvv", "order|invoice|tracking|serial|isbn|sku"),
+    "iban": _kind(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]{4}){2,7}(?:[ -]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", mod97, 0.8, "iban|account|bank|konto|cuenta|compte", cut=" -"),
+    "card": _kind(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]|\.\d)", luhn, 0.75, "card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte|cvv", "order|invoice|tracking|serial|isbn|sku", cut=" "),
     "ssn": _kind(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", national_id, 0.6, "ssn|social|security|tax", "part|model|isbn|order"),
     "phone": _kind(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d)", phone, 0.6, "phone|tel|telefon|tel[eé]fono|t[eé]l[eé]phone|call|mobile|fax|cell|handy", "order|invoice|tracking|serial|isbn|version"),
     "ipv4": _kind(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)", octets, 0.6, "ip|address|host|server|login|client|adresse|direcci[oó]n", "version|release|chapter|section|v"),
 }
 
 
+def confirmed(kind: Kind, text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the valid spans of a kind, each the longest from its start.
+
+    A span that fails may end at an earlier group, and the search goes on one
+    character after its start, so a neighbouring number hides none.
+    """
+    at = 0
+    while m := kind.pattern.search(text, at):
+        lo, hi = m.span()
+        at = lo + 1
+        ends = [hi, *(k for k in range(hi - 1, lo, -1) if text[k] in kind.cut)]
+        for end in ends:
+            if (end == hi or kind.pattern.fullmatch(text, lo, end)) and kind.valid(text[lo:end]):
+                yield lo, end
+                at = end
+                break
+
+
 def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of every confirmed span, by start.
 
@@ -89,12 +109,10 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     """
     found = []
     for rank, (name, kind) in enumerate(KINDS.items()):
-        for m in kind.pattern.finditer(text):
-            if not kind.valid(m.group()):
-                continue
-            around = text[max(0, m.start() - NEAR) : m.start()] + " \n " + text[m.end() : m.end() + NEAR]
+        for lo, hi in confirmed(kind, text):
+            around = text[max(0, lo - NEAR) : lo] + " \n " + text[hi : hi + NEAR]
             score = kind.score + 0.15 * bool(kind.near.search(around)) - 0.3 * bool(kind.against.search(around))
-            found.append((-round(min(1.0, score), 2), rank, m.start(), m.end(), name))
+            found.append((-round(min(1.0, score), 2), rank, lo, hi, name))
     found.sort()
     taken: list[tuple[str, int, int, float]] = []
     ends: list[tuple[int, int]] = []

@@ -84,6 +84,18 @@ def test_spans_and_scores():
     assert pii.spans("") == [] and pii.spans("no data here") == []
 
 
+def test_neighbours_hide_no_card_or_account():
+    def of(kind, text):
+        return [text[a:b] for k, a, b, _ in pii.spans(text) if k == kind]
+
+    card, account = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for text in (f"{card} 12/26", f"{card} 123", f"4111111111111111 123 {card} 12/26", f"4111-1111-1111-1111 123, 12 {card}"):
+        assert [x.replace("-", " ").replace(" ", "") for x in of("card", text)] == ["4111" + "1" * 12] * text.count("4111"), text
+    assert of("iban", f"{account} BIC CAIXESBB") == [account] and of("iban", f"IBAN {account.replace(' ', '')} BIC") == [account.replace(" ", "")]
+    assert of("phone", "12 555 123 4567") == ["555 123 4567"]
+    assert of("card", "4111 1111 1111 1112 123") == [] and of("iban", "ES91 2100 0418 4502 0005 1333 BIC") == []
+
+
 def test_data_of_the_corpus_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = pii.personal_data(docs).toPandas()
