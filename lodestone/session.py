@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def session(app: str = "lodestone", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution with skew handling, Arrow; shuffle partitions stay the cluster's unless given."""
+    """UTC, adaptive execution with skew handling, Arrow, checkpoints removed when unused; shuffle partitions stay the cluster's unless given."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -15,6 +15,7 @@ def session(app: str = "lodestone", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     for key, value in settings.items():
         builder = builder.config(key, value)

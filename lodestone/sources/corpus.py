@@ -19,19 +19,13 @@ EXTENSIONS = tuple(
 SKIPPED_DIRECTORIES = tuple(".git .svn .hg node_modules __pycache__ .venv venv build dist target .idea .vscode .mypy_cache .pytest_cache Pods DerivedData".split())
 
 
-#: Tables up to this size may be dealt out to all cores.
-SMALL_BYTES = 256 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small table of fewer files than cores, dealt out to the cores.
+    """A table of fewer splits than cores, dealt out to the cores; any other as it is.
 
-    A file with one row group is one task, whatever its splits.  Larger tables
-    stay as they are: their files are the partitions.
+    A file with one row group is one task, whatever its splits.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def extension_of(path: Column) -> Column:
