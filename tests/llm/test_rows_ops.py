@@ -3,6 +3,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -161,16 +162,69 @@ def test_quotes_equal_sql(spark):
 # mixing
 
 
-def test_schedule_follows_the_weights(spark):
-    rows = [(k, "w" * 4000, "en", "big" if k % 4 else "small") for k in range(2000)]
-    docs = documents(spark, rows)
-    got = mixing.mixed(docs, block_tokens=4000, targets={"big": 0.5, "small": 0.5}).toPandas()
+def shares(got):
     slots = got.drop_duplicates("slot").sort_values("slot")
-    share = (slots.source == "small").rolling(50).mean().dropna()
-    assert (abs(share - share.mean()) < 0.05).all()
-    assert not got.duplicated("doc_id").any() and abs(got.groupby("slot").tokens.sum().median() - 4000) <= 1000
-    twice = mixing.mixed(docs, block_tokens=4000, max_epochs=3, targets={"big": 0.5, "small": 0.5}).toPandas()
-    assert twice.epoch.max() >= 1 and twice.groupby(["doc_id", "epoch"]).size().max() == 1
+    return slots.groupby("source").size() / len(slots)
+
+
+def test_targets_are_met_all_along(spark):
+    rows = [(k, "w" * 4000, "en", "big" if k % 4 else "small") for k in range(2000)] + [(5000 + k, "w" * 4000, "en", "other") for k in range(50)]
+    docs = documents(spark, rows)
+    for small in (0.5, 0.25, 0.7):
+        got = mixing.mixed(docs, block_tokens=1000, targets={"big": 1 - small, "small": small}).toPandas()
+        slots = got.drop_duplicates("slot").sort_values("slot")
+        assert slots.slot.tolist() == list(range(len(slots)))
+        assert abs(shares(got)["small"] - small) < 0.01 and "other" not in set(got.source)
+        assert (abs((slots.source == "small").rolling(100).mean().dropna() - small) < 0.03).all()  # and so does every stretch
+        assert len(slots) >= 0.99 * min(500 / small, 1500 / (1 - small)) and not got.duplicated("doc_id").any()
+    twice = mixing.mixed(docs, block_tokens=1000, max_epochs=3, targets={"big": 0.5, "small": 0.5}).toPandas()
+    assert twice.epoch.max() == 2 and twice.groupby(["doc_id", "epoch"]).size().max() == 1
+    assert abs(shares(twice)["small"] - 0.5) < 0.01 and len(twice) >= 0.99 * 3000
+    with pytest.raises(ValueError):
+        mixing.mixed(docs, targets={"big": 0.5, "nowhere": 0.5})
+    with pytest.raises(ValueError):
+        mixing.mixed(docs, targets={"big": -1.0})
+
+
+def test_weights_without_targets_and_report(spark):
+    rows = [(k, "w" * 4000, "en", "hot" if k < 1500 else f"s{k % 5}") for k in range(2000)]
+    docs = documents(spark, rows)
+    share = {"hot": 0.75} | {f"s{k}": 0.05 for k in range(5)}
+    total = sum(x**0.7 for x in share.values())
+    raw = {k: min(x**0.7 / total, x) for k, x in share.items()}
+    want = {k: x / sum(raw.values()) for k, x in raw.items()}
+    got = shares(mixing.mixed(docs, block_tokens=1000).toPandas())
+    assert all(abs(got[k] - want[k]) < 0.01 for k in want)
+    report = mixing.mixing_report(docs, block_tokens=1000).toPandas().set_index("source")
+    assert all(abs(report.share[k] - want[k]) < 0.01 and abs(report.target[k] - want[k]) < 1e-6 for k in want) and report.exhausted.any() and not report.exhausted["hot"]
+    assert report.tokens["hot"] == 1_500_000 and report.blocks["s0"] == 100
+
+
+def test_repeated_rows_are_placed_each_over_block_edges(spark):
+    rows = [(1, "w" * 1600, "en", "a")] * 6 + [(1, "v" * 1600, "en", "a")] * 3 + [(2, "u" * 1600, "en", "b")] * 9
+    docs = documents(spark, rows)
+    options = {"block_tokens": 1000, "targets": {"a": 1, "b": 1}}
+    got = mixing.mixed(docs, **options).toPandas()
+    assert len(got) >= 16 and got.groupby(["source", "block"]).size().max() == 3  # three of 400 tokens begin in a block; a last block may be cut
+    kept = mixing.keep_mixed(docs, **options).toPandas()
+    count = kept.groupby(["doc_id", "text"]).size()
+    assert len(kept) == len(got) and count.max() <= 9 and (kept.groupby("doc_id").size() == got.groupby("doc_id").size()).all()
+    twice = mixing.mixed(docs, max_epochs=2, **options).toPandas()
+    again = mixing.keep_mixed(docs, max_epochs=2, **options).toPandas()
+    assert len(again) == len(twice) > 18 and again.groupby(["doc_id", "text"]).size().max() <= 18
+
+
+def test_files_hold_the_schedule_and_tokens_keep_it(spark, tmp_path):
+    rows = [(k, f"{k} " + "word " * (k % 90 * 9), "en", f"s{k % 4}") for k in range(600)] + [(7, "again", "en", "s1")]
+    docs = documents(spark, rows)
+    options = {"block_tokens": 500, "targets": {f"s{k}": k + 1 for k in range(4)}}
+    slots = mixing.mixed(docs, **options).toPandas()
+    mixing.keep_mixed(docs, **options).write.parquet(str(tmp_path / "kept"))
+    packed = token_pack.packed_tokens(spark.read.parquet(str(tmp_path / "kept"))).toPandas().sort_values("position")
+    assert len(packed) == len(slots) and packed.position.is_unique
+    want = slots.sort_values(["slot", "doc_id"])
+    assert packed.doc_id.tolist() == want.doc_id.tolist()
+    assert token_pack.packed_tokens(docs).where("position is not null").count() == 0
 
 
 def test_mixing_equals_sql(spark, odd, empty):
@@ -206,6 +260,21 @@ def test_running_start_over_many_parts(spark):
 # packing
 
 
+def packed_bit_by_bit(ids, width):
+    bits = [i >> b & 1 for i in ids for b in range(width)]
+    bits += [0] * (-len(bits) % 8)
+    return bytes(sum(bits[k + j] << j for j in range(8)) for k in range(0, len(bits), 8))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 33).flatmap(lambda w: st.tuples(st.just(w), st.lists(st.integers(0, 2**w - 1), max_size=90))))
+def test_packing_equals_bit_by_bit(case):
+    width, ids = case
+    payload = token_pack.pack(np.array(ids, np.int64), width)
+    assert payload == packed_bit_by_bit(ids, width)
+    assert token_pack.unpack(payload, width, len(ids)).tolist() == ids
+
+
 @settings(max_examples=120, deadline=None)
 @given(st.integers(1, 20).flatmap(lambda w: st.tuples(st.just(w), st.lists(st.integers(0, 2**w - 1), max_size=300))), st.integers(1, 70), st.integers(0, 310), st.integers(0, 310))
 def test_packing_round_trip_and_random_access(case, block, start, stop):
