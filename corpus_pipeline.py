@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, mixing, quality_rules, simhash, token_pack
-from lodestone.llm.common import table, written
+from lodestone.llm.common import delete, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, bit-packed in blocks."""
+    """Token ids of each document, bit-packed in blocks; position is the schedule's order."""
     return token_pack.packed_tokens(docs)
 
 
@@ -51,8 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed tokens of documents after all stages."""
-    docs = table(spark, sf_dir, "documents")
+    """The packed tokens of documents after all stages.
+
+    A stage's table is deleted when the next one is written; the last one
+    stays for the rows returned, which read it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, path = written(stage(spark, docs, sf_dir))
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

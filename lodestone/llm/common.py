@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,32 +16,48 @@ from ..sources.corpus import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; a small one of few files is dealt out to all cores."""
+    """A table of the folder; one of fewer splits than cores is dealt out to all cores."""
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which all executors share.
 
-    A session without that setting (a local test) gets a temporary folder.
+    Without that setting a session on one machine gets a temporary folder of
+    that machine; on a cluster it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; the files go when nothing refers to them."""
+    """Cut the lineage in the shared folder.
+
+    The files go when nothing refers to them, if the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints, as lodestone.session sets it.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, reread."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table in the shared folder, reread, and its path."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a written table."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

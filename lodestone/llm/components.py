@@ -13,14 +13,14 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> Data
 
     Nodes that are their own root have no row.  Null ends and loops count for
     nothing.  Every round is two shuffles of the edges and is written to the
-    shared folder, so neither lineage nor loss of an executor hurts.
+    shared folder, so neither lineage nor loss of an executor hurts.  Rounds
+    grow as the logarithm of the edges; components not finished after
+    ``most_rounds`` are an error.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     e = checkpoint(e)
     before = _signature(e)
-    for _ in range(most_rounds):
-        if before[0] == 0:
-            break
+    for _ in range(most_rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
         large = both.select("u", "v", least.alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -32,6 +32,9 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> Data
         if after == before:
             break
         before = after
+    else:
+        if before[0]:
+            raise RuntimeError(f"components are not finished after {most_rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
