@@ -30,7 +30,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.linked_messages(table(spark, sf_dir, "conversations"))
+    return quotes.conversations(quotes.linked_messages(table(spark, sf_dir, "conversations")))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,29 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.packed_tokens(table(spark, sf_dir, "documents"))
 
 
+def quotes_of_quoting_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over conversations in which messages quote others, nested, in part and wrapped anew."""
+    talk = table(spark, sf_dir, "conversations")
+    return quotes.linked_messages(spark.sql(quotes.quoting_sql("{talk}", "spark"), talk=talk))
+
+
+def quoting_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations of the same messages, without quotes and in reply order."""
+    return quotes.conversations(quotes_of_quoting_messages(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+def more_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The ten operators over tables derived from the given ones, or with other parameters."""
+    return {f.__name__: f for f in (quotes_of_quoting_messages, quoting_conversations)}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ownership": secrets.ORACLE, "op5_quote_linking": quotes.ORACLE, "op8_source_mixing": mixing.ORACLE.format(documents="documents")}
+    quoting = f"({quotes.quoting_sql('conversations', 'duckdb')})"
+    return {
+        "op3_secret_ownership": secrets.ORACLE, "op5_quote_linking": quotes.ORACLE.format(conversations="conversations"), "op8_source_mixing": mixing.ORACLE.format(documents="documents"),
+        "quotes_of_quoting_messages": quotes.ORACLE_MESSAGES.format(conversations=quoting), "quoting_conversations": quotes.ORACLE.format(conversations=quoting),
+    }
