@@ -205,11 +205,11 @@ ORACLE_MESSAGES = ORACLE + "SELECT conv_id, turn, role, parent_turn, quoted_pass
 ORACLE += """SELECT l.conv_id, count(*) AS n_messages, sum(linked_passages)::BIGINT AS linked_passages, list(l.turn ORDER BY path) AS turns, list(coalesce(parent_turn, -1) ORDER BY path) AS parent_turns,
   list(len(path) - 1 ORDER BY path) AS depths, list(coalesce(role, '') ORDER BY path) AS roles, list(text ORDER BY path) AS texts FROM linked l JOIN walk w ON l.conv_id = w.conv_id AND l.turn = w.turn GROUP BY l.conv_id"""
 
-#: Conversations whose messages quote others of the same conversation: every third one the message before, cut and
-#: wrapped to six words; every third one the message two before, and nested in it the one three before, to five words.
+#: Conversations whose messages quote others of the same conversation: two of three quote the message two before, cut
+#: and wrapped to six or four words, one of them with the message three before nested in it, wrapped to five.
 _FLAT = r"trim(regexp_replace(coalesce({}, ''), '[ \t\r\n]+', ' '{}))"
 QUOTING = """
-WITH base AS (SELECT conv_id, turn, role, text, split({own}, ' ') AS w0, split({one}, ' ') AS w1, split({two}, ' ') AS w2, split({three}, ' ') AS w3, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k
+WITH base AS (SELECT conv_id, turn, role, text, split({two}, ' ') AS w2, split({three}, ' ') AS w3, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k
   FROM {conversations} WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
 SELECT conv_id, turn, role, CASE
   WHEN k % 3 = 2 THEN concat('On Monday someone wrote:', chr(10), {by6}, chr(10), coalesce(text, ''))
@@ -231,5 +231,5 @@ def quoting_sql(conversations: str, dialect: str) -> str:
         cut = f"slice({words}, {lo}, {many})"
         return f"array_join(transform(sequence(0, greatest(size({cut}), 1) - 1, {width}), i -> concat('{mark}', array_join(slice({cut}, i + 1, {width}), ' '))), chr(10))"
 
-    lagged = [flat(f"lag(text, {k}) {over}") for k in (1, 2, 3)]
-    return QUOTING.format(conversations=conversations, own=flat("text"), one=lagged[0], two=lagged[1], three=lagged[2], by6=wrapped("w1", "> ", 3, 60, 6), by5=wrapped("w3", "> > ", 1, 25, 5), by4=wrapped("w2", "> ", 2, 400, 4))
+    two, three = (flat(f"lag(text, {k}) {over}") for k in (2, 3))
+    return QUOTING.format(conversations=conversations, two=two, three=three, by6=wrapped("w2", "> ", 3, 60, 6), by5=wrapped("w3", "> > ", 1, 25, 5), by4=wrapped("w2", "> ", 2, 400, 4))
