@@ -1,15 +1,17 @@
 """SimHash near-duplicates: 128-bit fingerprints, exact tiled comparison.
 
-Candidates come from an exact pigeonhole: the fingerprint is cut into more
-blocks than the radius, so two fingerprints within the radius agree on some
-block.  Rows that agree on one form a bucket; within a bucket the fingerprints
-are sorted by population count, cut into tiles and compared tile by tile with
-exclusive-or and bit counts.  A tile pair whose population counts differ by
-more than the radius cannot hold a pair and is skipped.
+Candidates come from an exact pigeonhole: the fingerprint is cut into
+radius + agree blocks, so two fingerprints within the radius agree on ``agree``
+blocks or more.  Rows that agree on the first of those are sent to one bucket;
+there they are grouped by the other ones, and each group is sorted by
+population count, cut into tiles and compared tile by tile with exclusive-or
+and bit counts.  A tile pair whose population counts differ by more than the
+radius cannot hold a pair and is skipped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -85,32 +87,29 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(cut, cut[1:])]
 
 
-def bucket_keys(radius: int, agree: int):
-    """Bit masks (hi, lo), one a table: within the radius, some table's bits agree.
-
-    Of radius + agree blocks, a pair within the radius has at least ``agree``
-    equal ones, so tables are the sets of ``agree`` blocks.
-    """
-    blocks = block_bounds(radius + agree)
-    masks = []
-    for chosen in combinations(blocks, agree):
-        mask = 0
-        for first, width in chosen:
-            mask |= ((1 << width) - 1) << first
-        masks.append((mask & (2**64 - 1), mask >> 64))
-    return masks
+def block_values(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """(blocks x n) the bits of each block; a block may straddle the two words."""
+    out = np.zeros((len(blocks), len(fp)), np.uint16)
+    for k, (first, width) in enumerate(blocks):
+        word, at = divmod(first, 64)
+        value = fp[:, word] >> U64(at)
+        if at + width > 64:
+            value = value | (fp[:, word + 1] << U64(64 - at))
+        out[k] = (value & U64((1 << width) - 1)).astype(np.uint16)
+    return out
 
 
-def choose_agree(n: int, radius: int, row_cost: float = 400.0, most: int = 3) -> int:
+def choose_agree(n: int, radius: int, row_cost: float = 4.0, most: int = 4) -> int:
     """The number of blocks to agree on with the least cost for n fingerprints.
 
-    Every choice is exact.  More blocks make more rows (row_cost pair
-    comparisons each) and far smaller buckets.
+    Every choice gives the same groups.  More blocks mean more groupings
+    within a bucket (row_cost pair comparisons a row each) of far smaller
+    groups; what is shuffled stays radius + agree rows a fingerprint.
     """
 
     def cost(agree: int) -> float:
-        masks = bucket_keys(radius, agree)
-        return sum(n * row_cost + n * n / 2 / 2.0 ** (bin(a).count("1") + bin(b).count("1")) for a, b in masks)
+        blocks = radius + agree
+        return math.comb(blocks, agree) * (n * row_cost + n * n / 2 / 2.0 ** (BITS * agree / blocks))
 
     return min(range(1, most + 1), key=cost)
 
@@ -139,65 +138,84 @@ def tile_pairs(fp: np.ndarray, radius: int, tile: int = 1024) -> Iterator[tuple[
 
 
 class Forest:
-    """Union by least index with path halving; keeps only edges that join something new."""
+    """Least-index labels of the components of the pairs seen so far, all in arrays."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        p = self.parent
-        while p[x] != x:
-            p[x] = p[p[x]]
-            x = p[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.parent[max(x, y)] = min(x, y)
-        return True
-
-
-def bucket_edges(ids: np.ndarray, fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the near pairs within each bucket.  The components
-    are those of all near pairs, and the edges fewer than the rows."""
-    order = np.lexsort(tuple(key.T))
-    key = key[order]
-    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
-    left, right = [], []
-    for lo, hi in zip(edge, edge[1:]):
-        if hi - lo < 2:
-            continue
-        at = order[lo:hi]
-        forest = None
-        for x, y in tile_pairs(fp[at], radius):
-            forest = forest or Forest(hi - lo)
-            for u, v in zip(x.tolist(), y.tolist()):
-                if forest.join(u, v):
-                    left.append(ids[at[u]])
-                    right.append(ids[at[v]])
-    return np.array(left, np.int64), np.array(right, np.int64)
+        self.label = np.arange(n)
+        self.pending: list[tuple[np.ndarray, np.ndarray]] = []
+        self.many = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        differ = self.label[x] != self.label[y]
+        if differ.any():
+            self.pending.append((x[differ], y[differ]))
+            self.many += int(differ.sum())
+            if self.many > 1 << 16:
+                self.settle()
+
+    def settle(self) -> np.ndarray:
+        """Hook the greater label of every pair below the lesser one and jump to the roots until no pair differs."""
+        if self.pending:
+            x, y = (np.concatenate(z) for z in zip(*self.pending))
+            while len(x):
+                a, b = self.label[x], self.label[y]
+                differ = a != b
+                x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+                np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+                while (up := self.label[self.label]).tobytes() != self.label.tobytes():
+                    self.label = up
+            self.pending, self.many = [], 0
+        return self.label
+
+
+def bucket_edges(ids: np.ndarray, fp: np.ndarray, block: int, radius: int, agree: int) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the near pairs of a bucket whose first equal block is ``block`` (or a later one).
+
+    Rows are grouped by every choice of ``agree`` - 1 later blocks; the edges
+    are fewer than the rows, however many pairs there are.
+    """
+    blocks = block_bounds(radius + agree)
+    values = block_values(fp, blocks)
+    forest = Forest(len(ids))
+    for chosen in combinations(range(block + 1, len(blocks)), agree - 1):
+        key = np.zeros(len(ids), np.int64)
+        for k in chosen:
+            key = key << blocks[k][1] | values[k]
+        order = np.argsort(key, kind="stable")
+        same = key[order]
+        edge = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1], [True]]))
+        for g in np.flatnonzero(np.diff(edge) > 1).tolist():
+            at = order[edge[g] : edge[g + 1]]
+            for x, y in tile_pairs(fp[at], radius):
+                forest.add(at[x], at[y])
+    root = forest.settle()
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[child], ids[root[child]]
 
 
 def near_edges(distinct: DataFrame, radius: int, agree: int) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of (id, hi, lo) within the radius."""
-    masks = bucket_keys(radius, agree)
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    keyed = distinct.select(
-        "id", "hi", "lo",
-        F.posexplode(F.array(*[F.struct(F.col("hi").bitwiseAND(F.lit(signed(a))).alias("a"), F.col("lo").bitwiseAND(F.lit(signed(b))).alias("b")) for a, b in masks])).alias("table", "k"),
-    ).select("id", "hi", "lo", "table", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
+    """Edges (a, b) whose components are those of all pairs of (id, hi, lo) within the radius.
+
+    A pair is compared in the bucket of its first equal block, one task each,
+    with one bucket in memory at a time.
+    """
+    blocks = block_bounds(radius + agree)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = block_values(np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], 1).view(U64), blocks)
+            for k in range(radius + 1):  # of agree equal blocks the first is one of these
+                bucket = (np.int32(k) << np.int32(16)) | values[k].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], names=["bucket", "id", "hi", "lo"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        ids, hi, lo, tab, a, b = (pa.chunked_array([x.column(k) for x in got]).to_numpy() for k in range(6))
-        x, y = bucket_edges(ids, np.stack([hi, lo], 1).view(U64), np.stack([b, a, tab.astype(np.int64)], 1), radius)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        ids, hi, lo = (table[x].to_numpy() for x in ("id", "hi", "lo"))
+        x, y = bucket_edges(ids, np.stack([hi, lo], 1).view(U64), key[0].as_py() >> 16, radius, agree)
+        return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    return keyed.repartition("table", "a", "b").mapInArrow(compare, "a long, b long")
+    return distinct.select("id", "hi", "lo").mapInArrow(spread, "bucket int, id long, hi long, lo long").groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, agree: int | None = None) -> DataFrame:
@@ -207,9 +225,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``radius`` of 128 bits; a group is a connected component of that relation,
     and the document with the least id stays.
 
-    Null or wordless texts are alone in their group.  Rows without an id have
-    a null group and stay.  Rows that repeat an id share one decision (that of
-    their least-id near copy).  An empty table gives an empty result.
+    Null, empty and wordless texts are alone in their group; a very long text
+    counts with all its words.  Rows without an id have a null group and stay.
+    Rows that repeat an id share one decision (that of their least-id near
+    copy).  A tie of bits counts as 0.  Other columns, whatever their names,
+    are not read.  An empty table gives an empty result.
     """
     fps = checkpoint(fingerprint_table(docs, id_col, text_col))
     distinct = checkpoint(fps.groupBy("hi", "lo").agg(F.min("id").alias("id")))

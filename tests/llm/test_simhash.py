@@ -51,13 +51,13 @@ def test_every_number_of_agreeing_blocks_gives_the_same(spark):
         rows.append((100 + k, int(a), int(b)))
     df = spark.createDataFrame(rows, "id long, hi long, lo long")
     results = []
-    for agree in (1, 2):
+    for agree in (1, 2, 3, 4):
         r = components(simhash.near_edges(df, simhash.RADIUS, agree), "a", "b").toPandas()
         results.append(dict(zip(r.node, r.root)))
     fp = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
     pairs = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if np.bitwise_count(fp[i] ^ fp[j]).sum() <= simhash.RADIUS]
     want = components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").toPandas()
-    assert results[0] == results[1] == dict(zip(want.node, want.root))
+    assert results[0] == results[1] == results[2] == results[3] == dict(zip(want.node, want.root))
 
 
 def test_edited_copies_are_caught_and_others_left(spark):
@@ -123,3 +123,25 @@ def test_components_of_chains(spark):
     assert dict(zip(got.node, got.root)) == {k: 0 for k in range(1, 41)} | {105: 100, 103: 100}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
     assert isinstance(got, pd.DataFrame)
+
+
+def test_blocks_are_bits_of_the_fingerprint():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 2**64, (50, 2), dtype=np.uint64)
+    for n in (21, 22, 24):
+        blocks = simhash.block_bounds(n)
+        values = simhash.block_values(fp, blocks)
+        for (first, width), row in zip(blocks, values):
+            assert row.tolist() == [((int(b) << 64 | int(a)) >> first) & ((1 << width) - 1) for a, b in fp]
+    assert [simhash.choose_agree(n, 20) for n in (100, 10**5, 10**7, 10**9)] == sorted(simhash.choose_agree(n, 20) for n in (100, 10**5, 10**7, 10**9))
+
+
+def test_a_cluster_of_thousands_of_near_copies_is_one_star():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 2, dtype=np.uint64)
+    fp = np.repeat(base[None], 4000, 0)
+    for k in range(3):
+        fp[np.arange(4000), k % 2] ^= np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)
+    ids = rng.permutation(4000)
+    a, b = simhash.bucket_edges(ids, fp, 0, 20, 1)
+    assert len(a) == 3999 and len(set(b.tolist())) == 1 and set(a.tolist()) | set(b.tolist()) == set(range(4000))
