@@ -26,6 +26,8 @@ from .texthash import U64, Words, mix, words
 
 BITS = 128
 RADIUS = 20
+#: Groups up to this size are compared in stacks of tiles, larger ones tile by tile.
+STACKED = 64
 _LANE = U64(0x0101010101010101)
 
 
@@ -99,27 +101,33 @@ def block_values(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def choose_agree(n: int, radius: int, row_cost: float = 4.0, most: int = 4) -> int:
+def choose_agree(n: int, radius: int, most: int = 4) -> int:
     """The number of blocks to agree on with the least cost for n fingerprints.
 
     Every choice gives the same groups.  More blocks mean more groupings
-    within a bucket (row_cost pair comparisons a row each) of far smaller
-    groups; what is shuffled stays radius + agree rows a fingerprint.
+    within a bucket of far smaller groups; what is shuffled stays radius +
+    agree rows a fingerprint.  The unit is the comparison of a pair in a tile:
+    ordering a row costs about 100, a call for a group 10,000, and a pair in a
+    stack of small tiles 8.
     """
 
     def cost(agree: int) -> float:
         blocks = radius + agree
-        return math.comb(blocks, agree) * (n * row_cost + n * n / 2 / 2.0 ** (BITS * agree / blocks))
+        groups = 2.0 ** (BITS * agree / blocks)
+        pairs = n * n / groups / 2
+        compare = pairs + 10_000 * groups if n > STACKED * groups else 8 * pairs
+        return math.comb(blocks, agree) * (100 * n + compare)
 
     return min(range(1, most + 1), key=cost)
 
 
-def tile_pairs(fp: np.ndarray, radius: int, tile: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within the radius among the rows of ``fp``, tile by tile."""
+def tile_pairs(fp: np.ndarray, radius: int, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius among the rows of ``fp``, tile by tile; a tile's working memory stays in cache."""
     population = np.bitwise_count(fp).sum(axis=1).astype(np.int64)
     order = np.argsort(population, kind="stable")
     fp, population = np.ascontiguousarray(fp[order].T), population[order]
     n = len(order)
+    differ, bits, more = np.empty((tile, tile), U64), np.empty((tile, tile), np.uint8), np.empty((tile, tile), np.uint8)
     for i in range(0, n, tile):
         top = population[min(i + tile, n) - 1]
         a = fp[:, i : i + tile, None]
@@ -127,16 +135,43 @@ def tile_pairs(fp: np.ndarray, radius: int, tile: int = 1024) -> Iterator[tuple[
             if population[j] - top > radius:
                 break  # and so do all later tiles
             b = fp[:, None, j : j + tile]
-            distance = np.bitwise_count(a[0] ^ b[0])
+            at = np.s_[: a.shape[1], : b.shape[2]]
+            distance = np.bitwise_count(np.bitwise_xor(a[0], b[0], out=differ[at]), out=bits[at])
             for k in range(1, len(fp)):
-                distance += np.bitwise_count(a[k] ^ b[k])
-            x, y = np.nonzero(distance <= radius)
+                distance += np.bitwise_count(np.bitwise_xor(a[k], b[k], out=differ[at]), out=more[at])
+            if i != j and distance.min() > radius:
+                continue
+            x, y = np.divmod(np.flatnonzero((distance <= radius).ravel()), b.shape[2])
             if i == j:
                 x, y = x[x < y], y[x < y]
             if len(x):
                 yield order[i + x], order[j + y]
 
 
+def stacked_pairs(fp: np.ndarray, groups: np.ndarray, sizes: np.ndarray, radius: int, cells: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within the radius in many small groups at once: groups of like size are one stack of tiles.
+
+    ``groups`` are the places at which groups begin in ``fp``.
+    """
+    room = 1 << np.ceil(np.log2(sizes)).astype(np.int64)
+    for side in np.unique(room).tolist():
+        own = np.flatnonzero(room == side)
+        inner = np.arange(side)
+        upper = inner[:, None] < inner[None]
+        for lo in range(0, len(own), max(1, cells // side**2)):
+            part = own[lo : lo + max(1, cells // side**2)]
+            at = groups[part, None] + np.minimum(inner, sizes[part, None] - 1)
+            tile = fp[at]
+            distance = np.bitwise_count(tile[:, :, None, 0] ^ tile[:, None, :, 0])
+            for k in range(1, fp.shape[1]):
+                distance += np.bitwise_count(tile[:, :, None, k] ^ tile[:, None, :, k])
+            g, x, y = np.nonzero((distance <= radius) & upper)
+            there = y < sizes[part[g]]
+            if there.any():
+                g, x, y = g[there], x[there], y[there]
+                yield at[g, x], at[g, y]
+
+
 class Forest:
     """Least-index labels of the components of the pairs seen so far, all in arrays."""
 
@@ -150,7 +185,7 @@ class Forest:
         if differ.any():
             self.pending.append((x[differ], y[differ]))
             self.many += int(differ.sum())
-            if self.many > 1 << 16:
+            if self.many > 1 << 14:
                 self.settle()
 
     def settle(self) -> np.ndarray:
@@ -184,7 +219,13 @@ def bucket_edges(ids: np.ndarray, fp: np.ndarray, block: int, radius: int, agree
         order = np.argsort(key, kind="stable")
         same = key[order]
         edge = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1], [True]]))
-        for g in np.flatnonzero(np.diff(edge) > 1).tolist():
+        sizes, sorted_fp = np.diff(edge), fp[order]
+        label = forest.label[order]
+        apart = np.maximum.reduceat(label, edge[:-1]) != np.minimum.reduceat(label, edge[:-1])  # groups that are not one component already
+        small = np.flatnonzero(apart & (sizes <= STACKED))
+        for x, y in stacked_pairs(sorted_fp, edge[small], sizes[small], radius):
+            forest.add(order[x], order[y])
+        for g in np.flatnonzero(apart & (sizes > STACKED)).tolist():
             at = order[edge[g] : edge[g + 1]]
             for x, y in tile_pairs(fp[at], radius):
                 forest.add(at[x], at[y])
