@@ -3,22 +3,29 @@
 A document leaks an item of n words if some stretch of it is within
 k = floor(rate * n) word edits of the item; words are compared in lower case.
 
-The search goes from loose to exact:
+The search:
 
-1. Of the item's words, cut into k + 1 runs, one run occurs unchanged in a
-   leak.  So only word windows that share a run of q = floor(n / (k + 1)) words
-   with the item, within k places of the same offset, can be leaks; the others
-   are never embedded.  Nothing is lost here.
-2. These item-sized windows and the item are embedded by the random walk of
+1. Item-sized windows and the item are embedded by the random walk of
    Chakraborty, Goldenberg and Koucky (2016), which maps edit distance to
-   Hamming distance.  A table samples ``samples`` coordinates; the window is a
-   candidate if it agrees with the item in any of ``tables`` tables.
-3. The exact least edit distance between the item and any part of the
+   Hamming distance.  A table samples ``samples`` coordinates; a window is a
+   candidate if it agrees with the item in any of ``tables`` tables.  By
+   tables_needed(), 24 tables reach a recall of 0.9 where a table agrees with
+   a chance of 0.092; at the greatest edit rate allowed it is measured higher
+   (tests/llm/test_search_ops.py).
+2. The exact least edit distance between the item and any part of the
    candidate's neighbourhood decides (Myers' bit-parallel recurrence).
+
+Of all windows only those are embedded that can be a leak at all: of the
+item's words, cut into k + 1 runs, one run occurs unchanged in a leak, so a
+window that shares no run of q = floor(n / (k + 1)) words with the item,
+within k places of the same offset, is none.  Nothing is lost by it, and
+``every_window`` searches without it, which gives no leak more that passes
+the exact test than the tables' chance does (see the tests).
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from uuid import uuid4
 
@@ -175,9 +182,21 @@ def windows_to_embed(hashes: np.ndarray, first: np.ndarray, items: Items) -> tup
     return key // (len(hashes) + 1), key % (len(hashes) + 1)
 
 
-def candidates(hashes: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """The windows to embed that share a bucket with their item."""
-    item, start = windows_to_embed(hashes, first, items)
+def tables_needed(recall: float, agreement: float) -> int:
+    """Tables that find a leak with the given chance if each agrees with ``agreement``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - agreement))
+
+
+def every_window(hashes: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(item, start word) of every item-sized window of every text and each item of that size."""
+    at = window_starts(first, 1)
+    pairs = [(np.repeat(np.flatnonzero(items.n == n), len(at)), np.tile(at, int((items.n == n).sum()))) for n in np.unique(items.n)]
+    return (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def candidates(hashes: np.ndarray, first: np.ndarray, items: Items, windows=windows_to_embed) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that share a bucket with their item."""
+    item, start = windows(hashes, first, items)
     if not len(item):
         return item, start
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -193,10 +212,10 @@ def candidates(hashes: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.
     return item[hit], start[hit]
 
 
-def leaks(texts: list[str | None], items: Items) -> list[tuple[int, int, int]]:
+def leaks(texts: list[str | None], items: Items, windows=windows_to_embed) -> list[tuple[int, int, int]]:
     """(text, item, least edits) of each leak found."""
     found = words(texts)
-    item, start = candidates(found.hashes, found.first, items)
+    item, start = candidates(found.hashes, found.first, items, windows)
     owner = found.owner()
     best: dict[tuple[int, int], int] = {}
     region: tuple[int, int, int, int] | None = None
@@ -239,9 +258,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     measured first; what exceeds ``pass_bytes`` is split by a hash of the item
     over several passes, so no worker ever holds more.
 
-    Null or wordless texts and items leak nothing; a null document id is kept
-    as null; repeated documents each give their rows, repeated items are one.
-    An empty table on either side gives no row.
+    Null, empty or wordless texts and items leak nothing; a very long text is
+    searched whole; an item of one word is in every text with that word.  A
+    null document id is kept as null; repeated documents each give their rows,
+    repeated items are one, and every item found has its row, so there are no
+    ties.  Other columns, whatever their names, are not read.  An empty table
+    on either side gives no row.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("body")).where("item is not null and body is not null").distinct()
