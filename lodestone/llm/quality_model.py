@@ -199,7 +199,8 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = 60, hidden: i
 def labelled_features(docs: DataFrame, labels: DataFrame, vectors, id_col: str, text_col: str, label_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the ``most`` labelled documents with the least hash, in the order of the hash.
 
-    The sample is bounded, so it is sent to the documents, which are read in place.
+    The sample is bounded, so it is sent to the documents, which are read in
+    place; of rows that repeat an id the one with the least features counts.
     """
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max(label_col).cast("double").alias("y"))
     sample = sample.withColumn("h", F.xxhash64("__id")).orderBy("h", "__id").limit(most)
@@ -210,7 +211,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, vectors, id_col: str,
         x, _ = pooled(texts, vectors.value)
         return {"h": keys.field(0), "id": keys.field(1), "y": keys.field(2), "x": [r.tobytes() for r in x]}
 
-    rows = sorted(map_texts(joined, "key", "text", work, "h long, id long, y double, x binary").collect(), key=lambda r: (r.h, r.id, r.x))
+    made = map_texts(joined, "key", "text", work, "h long, id long, y double, x binary")
+    one = made.groupBy("h", "id").agg(F.min(F.struct("x", "y")).alias("r")).select("h", "id", "r.x", "r.y")  # of rows that repeat an id
+    rows = sorted(one.collect(), key=lambda r: (r.h, r.id))
     x = np.stack([np.frombuffer(r.x, np.float32) for r in rows]) if rows else np.zeros((0, 3 * DIM), np.float32)
     return x, np.array([r.y for r in rows])
 
@@ -218,7 +221,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, vectors, id_col: str,
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep_from: float = KEEP_FROM, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, n_words, quality, keep) for every document; ``quality`` is the calibrated probability of label 1.
 
-    Null and wordless texts have quality 0.  A null id stays null.  Labels
+    Null, empty and wordless texts have quality 0; a very long one is pooled
+    whole.  A null id stays null.  Other columns, whatever their names, are
+    not read.  Labels
     that are null or not 0 or 1, or without an id, are ignored; of several for
     an id the greatest counts.  Without labels of both kinds every text has
     the share of label 1 (0.5 without labels).  Rows that repeat are scored
