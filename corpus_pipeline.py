@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor
 kept, and returns a DataFrame that is written as Parquet and reread as the
-next one's docs.  All but the last return the columns of documents.
+next one's docs.  All but the last return the columns of documents, and other
+columns that docs has.
+
+What every stage does with odd rows: ids are whole numbers; a row without an
+id passes the first three and is left out by mixing, which can't place it.
+Null and empty texts are rejected by the rules; given to a later stage they
+pass (and have no token).  Very long texts are worked on whole.  Rows that
+repeat an id go or stay together, and each is placed and packed.  Ties: the
+least id of a group of near copies stays.  Extra columns, whatever their
+names, are carried along.  An empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""What the operators of this subpackage share: input tables, the shared folder, Arrow batches."""
+"""What the operators of this subpackage share: input tables, the shared folder, Arrow batches.
+
+Ids are whole numbers of at most 64 bits: operators cast them to long, and a
+text that is none is an error.  Ids of another kind need a number first, for
+instance F.xxhash64.
+"""
 
 from __future__ import annotations
 

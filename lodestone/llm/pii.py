@@ -131,8 +131,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, kind, start, end, score, redact): the confirmed spans of every text, in characters.
 
     ``redact`` is whether the score reaches ``least_score``.  Numbers that fail
-    their checksum have no row.  Null and empty texts have none; a null id
-    stays null; rows that repeat give their spans each.
+    their checksum have no row.  Null and empty texts have none; a very long
+    one is searched whole.  A null id stays null; rows that repeat give their
+    spans each; ties of overlapping spans are settled as spans() says.  Other
+    columns, whatever their names, are not read.  An empty table gives no row.
     """
 
     def work(ids: pa.Array, texts: list) -> dict | None:

@@ -144,7 +144,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Rows that repeat are judged each on its own.  ``least_docs`` asks for the
     plain bands: over all rows, copies counted each, and none for a class of
     fewer rows.  Otherwise only a corpus of fewer than ``LEAST_DOCS`` distinct
-    texts is too small to judge; it is kept.
+    texts is too small to judge; it is kept.  A very long text is measured
+    whole.  Ties in a median take the lesser value.  Columns of other names
+    are not read.
     """
     m = checkpoint(measured(docs, id_col, text_col, lang_col, vocabulary, folder))
     low_high = F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high"))))
