@@ -8,8 +8,11 @@ aligned anchor.  Anchors that occur once go; around the others the windows of
 L words are hashed, and equal ones are the repeated passages, whose union is
 the exact extension of each anchor.
 
-Anchors travel as packed arrays, one row a slice of texts and bucket of
-hashes, so that Spark moves and sorts thousands of rows, not billions.
+Anchors travel as packed arrays, one row a gathering of texts and bucket of
+hashes, so that Spark moves and sorts thousands of rows, not billions.  Of
+windows that are equal within a gathering only the first one travels to the
+bucket of its hash; the others are known to repeat.  So a passage that every
+document has is one entry a gathering there, not one an occurrence.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .texthash import U64, Windows, window_starts, words
 LEAST_WORDS = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
+#: Windows that a task gathers before it sends them on.
+GATHER = 1 << 20
 _BLOB = "bucket int, hashes binary, docs binary, places binary"
 
 
@@ -50,38 +55,73 @@ def _blobs(h: np.ndarray, doc: np.ndarray, place: np.ndarray, bits: int) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), cut(h), cut(doc), cut(place)], names=["bucket", "hashes", "docs", "places"])
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The arrays of all blobs of a partition, sorted by hash, document and place, each triple once."""
-    h, doc, place = [], [], []
-    for b in batches:
-        for x, out, kind in ((b.column(1), h, U64), (b.column(2), doc, np.int64), (b.column(3), place, np.int32)):
-            out.extend(np.frombuffer(v.as_buffer(), kind) for v in x)
-    if not h:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    h, doc, place = np.concatenate(h), np.concatenate(doc), np.concatenate(place)
-    order = np.argsort(h)
-    h = h[order]
-    twin = np.zeros(len(h), bool)
-    if len(h) > 1:
-        same = h[1:] == h[:-1]
-        twin[1:] |= same
-        twin[:-1] |= same
-    order, h = order[twin], h[twin]
-    doc, place = doc[order], place[order]
-    order = np.lexsort((place, doc, h))
-    h, doc, place = h[order], doc[order], place[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-    return h[new], doc[new], place[new]
-
-
-def _repeated(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(occurs more than once, is the first of its hash) for sorted hashes."""
-    first = np.ones(len(h), bool)
-    first[1:] = h[1:] != h[:-1]
+def _ordered(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row numbers by hash, document and place, each such triple once; is the first of its hash; the hash has more than one)."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    twin = np.zeros(len(s), bool)
+    twin[1:] |= s[1:] == s[:-1]
+    twin[:-1] |= s[1:] == s[:-1]
+    among = order[twin]  # the others need no further order
+    among = among[np.lexsort((place[among], doc[among], h[among]))]
+    order[twin] = among
+    s, d, p = h[order], doc[order], place[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+    order, s = order[new], s[new]
+    first = np.ones(len(s), bool)
+    first[1:] = s[1:] != s[:-1]
     more = ~first
     more[:-1] |= ~first[1:]
-    return more, first
+    return order, first, more
+
+
+class Gathering:
+    """Windows of a task: those that are the first of their hash go to a bucket, the others repeat for sure."""
+
+    def __init__(self, bits: int, limit: int = GATHER):
+        self.bits, self.limit = bits, limit
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.many = 0
+
+    def add(self, h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(h), self.limit):
+            part = slice(lo, lo + self.limit)
+            self.parts.append((h[part], doc[part].astype(np.int64), place[part].astype(np.int32)))
+            self.many += len(h[part])
+            if self.many >= self.limit:
+                yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if not self.many:
+            return
+        h, doc, place = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.many = [], 0
+        order, first, more = _ordered(h, doc, place)
+        head, rest = order[first], order[~first]
+        coded = np.zeros(len(h), np.int32)
+        coded[head] = place[head] << 1 | more[first]  # whether the hash is known to repeat
+        head.sort()  # in the order of the texts, which packs well
+        yield _blobs(h[head], doc[head], coded[head], self.bits)
+        for lo in range(0, len(rest), 1 << 16):
+            part = rest[lo : lo + (1 << 16)]
+            part = part[np.lexsort((place[part], doc[part]))]
+            bucket = -1 - int(h[part[0]] >> U64(64 - self.bits))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([b""], pa.binary()), pa.array([doc[part].tobytes()], pa.binary()), pa.array([place[part].tobytes()], pa.binary())], names=["bucket", "hashes", "docs", "places"])
+
+
+def _settled(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch | None:
+    """The repeated windows among those of one bucket, by document."""
+    h, doc, coded = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in ((1, U64), (2, np.int64), (3, np.int32)))
+    if rows[0][0] < 0:  # all repeat, and none is the first of its kind
+        return _by_doc(doc, coded, np.zeros(len(doc), np.int32))
+    place = coded >> 1
+    order, first, more = _ordered(h, doc, place)
+    if not len(order):
+        return None
+    known = np.unique(h[(coded & 1) == 1])
+    more |= np.isin(h[order], known)
+    return _by_doc(doc[order][more], place[order][more], first[more].astype(np.int32))
 
 
 def _by_doc(doc: np.ndarray, place: np.ndarray, flag: np.ndarray) -> pa.RecordBatch | None:
@@ -115,8 +155,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the first of their kind.  Cutting the removable ones leaves one copy of
     every passage.
 
-    Null ids and texts, and texts of fewer words, have no row.  Rows that
-    repeat an id and text count once.  Equal windows are told by 64-bit hashes.
+    Null ids, null and empty texts, and texts of fewer words, have no row; a
+    very long text is compared whole, with itself too.  Rows that repeat an id
+    and text count once.  Ties have the order of id and place.  Other columns,
+    whatever their names, are not read.  An empty table gives no row.  Equal
+    windows are told by 64-bit hashes.
     """
     width = least_words - period + 1
     if width < 1 or not is_cover(cover, period):
@@ -126,24 +169,30 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathering = Gathering(bits)
         for batch in batches:
             for part in slices(batch, 1, 6 << 20):
                 ids = part.column(0).to_numpy()
                 found = words(part.column(1).to_pylist(), lower=False)
                 at = anchor_windows(found.first, width, cover, period)
                 doc = np.searchsorted(found.first, at, "right") - 1
-                made = _blobs(Windows(found.hashes).at(at, width), ids[doc], at - found.first[doc], bits)
-                if made:
-                    yield made
+                yield from gathering.add(Windows(found.hashes).at(at, width), ids[doc], at - found.first[doc])
+        yield from gathering.send()
 
     def twins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, doc, place = _gather(batches)
-        more, first = _repeated(h)
-        made = _by_doc(doc[more], place[more], first[more].astype(np.int32))
-        if made:
+        rows: list[tuple[int, bytes, bytes, bytes]] = []
+        for batch in batches:
+            for row in zip(batch.column(0).to_pylist(), *(c.to_pylist() for c in batch.columns[1:])):
+                if rows and rows[0][0] != row[0]:
+                    if made := _settled(rows):
+                        yield made
+                    rows = []
+                rows.append(row)
+        if rows and (made := _settled(rows)):
             yield made
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathering = Gathering(bits)
         for batch in batches:
             for part in slices(batch, 1, 6 << 20):
                 ids = part.column(0).to_numpy()
@@ -161,9 +210,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 np.add.at(step, hi[some] + 1, -1)
                 start = np.flatnonzero(np.cumsum(step[:-1]) > 0)
                 doc = np.searchsorted(found.first, start, "right") - 1
-                made = _blobs(Windows(found.hashes).at(start, least_words), ids[doc], start - found.first[doc], bits)
-                if made:
-                    yield made
+                yield from gathering.add(Windows(found.hashes).at(start, least_words), ids[doc], start - found.first[doc])
+        yield from gathering.send()
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +231,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     by_doc = "doc_id long, places array<int>"
     merged = F.flatten(F.collect_list("places")).alias("places")
-    candidate = source.mapInArrow(anchors, _BLOB).repartition("bucket").mapInArrow(twins, by_doc).groupBy("doc_id").agg(merged)
+
+    def repeated(blobs: DataFrame) -> DataFrame:
+        return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(twins, by_doc).groupBy("doc_id").agg(merged)
+
+    candidate = repeated(source.mapInArrow(anchors, _BLOB))
     window = source.join(candidate, "doc_id").select("doc_id", "text", "places").mapInArrow(extended, _BLOB)
-    found = window.repartition("bucket").mapInArrow(twins, by_doc).groupBy("doc_id").agg(merged)
-    return found.mapInArrow(spans, "doc_id long, first_word long, end_word long, removable boolean")
+    return repeated(window).mapInArrow(spans, "doc_id long, first_word long, end_word long, removable boolean")

@@ -58,6 +58,35 @@ def test_recall_against_brute_force(share):
     assert len(got & want) >= 0.95 * len(want)
 
 
+def test_tables_reach_the_recall_without_the_run_index():
+    """The walk's tables alone, over every window, find what they find behind the run index, at the greatest edit rate."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))) for _ in range(800)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(n))) for k, n in enumerate([15, 25, 35, 45, 55] * 6)]
+    items = dc.Items(rows)
+    texts = [" ".join([rng.choice(vocabulary) for _ in range(8)] + edited(rng, t.split(), len(t.split()) // 5, vocabulary) + [rng.choice(vocabulary) for _ in range(8)]) for _, t in rows for _ in range(2)]
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(60)) for _ in range(10)]
+    found = words(texts)
+    want = {(k, j) for k, (a, b) in enumerate(zip(found.first, found.first[1:])) for j in range(len(rows)) if dc.least_edits(items.words[j], found.hashes[a:b].tolist()) <= items.edits[j]}
+    alone, indexed = ({(a, b) for a, b, _ in dc.leaks(texts, items, windows)} for windows in (dc.every_window, dc.windows_to_embed))
+    assert indexed <= alone <= want and len(want) >= 55
+    assert len(alone) >= 0.95 * len(want) and len(indexed) >= 0.95 * len(want)
+    # the chance of one table, and so the tables that a recall needs
+    agree = []
+    for table in range(dc.TABLES):
+        one = dc.Items(rows, tables=1)
+        one.keys = items.keys[:, table : table + 1]
+        real, dc_key = dc.walk_key, lambda h, a, b, n, t, samples=dc.SAMPLES, table=table: real(h, a, b, n, table, samples)
+        dc.walk_key = dc_key
+        try:
+            item, start = dc.candidates(found.hashes, found.first, one, dc.every_window)
+        finally:
+            dc.walk_key = real
+        owner = found.owner()
+        agree.append(len({(int(owner[s]), int(i)) for i, s in zip(item, start)} & want) / len(want))
+    assert dc.tables_needed(0.9, sum(agree) / len(agree)) <= dc.TABLES
+
+
 def test_query_equals_brute_force(spark, sf001):
     docs, bench = (spark.read.parquet(f"{sf001}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {tuple(r) for r in dc.contaminated(docs, bench).collect()}
@@ -129,11 +158,26 @@ def test_passages_of_random_texts_equal_brute_force(spark):
             t += [str(rng.randrange(10**6)) for _ in range(rng.randint(0, 30))] + rng.choice(passages)[rng.randrange(5) :]
         rows.append((k, " ".join(t)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    docs = docs.unionByName(docs.limit(9))  # rows that repeat count once
     for least, cover, period in ((20, (0, 1, 3), 7), (14, (0, 1, 3, 9), 13)):
         got = {tuple(r) for r in sd.repeated_passages(docs, least_words=least, cover=cover, period=period).collect()}
         assert got == brute_passages(rows, least) and got
 
 
+def test_a_passage_of_every_document_is_one_entry_a_gathering(spark):
+    rng = np.random.default_rng(8)
+    n = 5000
+    h, doc, place = np.repeat(rng.integers(0, 2**64, 40, dtype=np.uint64), n), np.tile(np.arange(n), 40), np.repeat(np.arange(40), n)
+    gathering = sd.Gathering(10, limit=50_000)
+    sent = [*gathering.add(h, doc, place), *gathering.send()]
+    entries = sum(len(v.as_py()) // 8 for b in sent for k, v in zip(b.column(0).to_pylist(), b.column(1)) if k >= 0)
+    assert entries <= 40 + 200_000 // 50_000 + 1  # not 200,000
+    rows = [(k, " ".join(f"x{w}" for w in range(60)) + f" own {k} " + " ".join(f"y{w % 7}" for w in range(k % 50))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {tuple(r) for r in sd.repeated_passages(docs).collect()}
+    assert whole == brute_passages(rows, 50) and len({r[0] for r in whole}) == 300
+
+
 def test_covers():
     assert sd.is_cover(sd.COVER, sd.PERIOD) and sd.is_cover((0, 1, 3), 7) and not sd.is_cover((0, 1, 2), 7)
 
