@@ -137,6 +137,52 @@ def test_personal_data_of_odd_rows(odd, empty):
     assert pii.personal_data(odd).count() == 0 and pii.personal_data(empty).count() == 0
 
 
+def iban_of(rng, country="DE"):
+    body = "".join(str(x) for x in rng.integers(0, 10, 18))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    return f"{country}{check:02}{body}"
+
+
+def test_accounts_and_social_security_numbers_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(4):
+            kind = rng.integers(4)
+            if kind == 0:
+                value = iban_of(rng)
+                value = " ".join(value[k : k + 4] for k in range(0, 22, 4)) if rng.random() < 0.5 else value
+                want.append(("iban", value))
+            elif kind == 1:
+                value = iban_of(rng)
+                value = value[:-1] + str((int(value[-1]) + 1) % 10)
+            elif kind == 2:
+                value = f"{rng.integers(1, 666):03}-{rng.integers(1, 100):02}-{rng.integers(1, 10000):04}"
+                want.append(("ssn", value))
+            else:
+                value = rng.choice(["000-12-3456", "666-12-3456", "901-12-3456", "123-00-4567", "123-45-0000"])
+            parts.append(value)
+        text = " ; then ".join(parts)
+        got = [(k, text[a:b]) for k, a, b, _ in pii.spans(text) if k in ("iban", "ssn")]
+        assert got == want, text
+
+
+def test_overlaps_keep_the_higher_score_then_the_earlier_kind():
+    text = "tel 555-123-4567 and ip 10.0.0.1"
+    got = pii.spans(text)
+    assert all(b <= c for (_, _, b, _), (_, c, _, _) in zip(got, got[1:]))
+    assert [k for k, *_ in got] == ["phone", "ipv4"] and got[0][3] == 0.75
+    both = [(m.start(), m.end()) for name in pii.KINDS for m in pii.KINDS[name].pattern.finditer("4111 1111 1111 1111")]
+    assert len(both) > 1 and [k for k, *_ in pii.spans("4111 1111 1111 1111")] == ["card"]
+
+
+def test_personal_data_at_the_end_of_a_long_text(spark):
+    long = "river stone " * 60_000 + "card 4111111111111111"
+    rows = [(1, long), (1, long), (None, "mail a.b@c.example.com"), (2, None), (3, "")]
+    got = pii.personal_data(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, kind string, score string")).collect()
+    assert sorted((r.doc_id or 0, r.kind, r.start) for r in got) == [(0, "email", 5), (1, "card", 720_005), (1, "card", 720_005)]
+
+
 # quotations
 
 TALK = [
