@@ -85,6 +85,59 @@ def function_chunks(files: DataFrame, limit: int = SIZE, overlap: int = OVERLAP)
     return whole.select("file_seq", "path", "name", "start_line", "body", F.posexplode(F.when(F.length("body") > limit, cuts).otherwise(F.array(F.lit(0)))).alias("chunk_id", "_at")).select("file_seq", "path", "name", "start_line", "chunk_id", F.substring(F.col("body"), F.col("_at") + 1, F.lit(limit)).alias("content"))
 
 
+def word_packs(words: Column, limit: int, overlap_words: int = 0) -> Column:
+    """array<string>: words joined by single spaces, as many as ``limit`` characters hold; a pack begins with the last ``overlap_words`` of the one before.  A longer word is a pack of its own."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc: Column, word: Column) -> Column:
+        joined = F.when(acc["open"] == "", word).otherwise(F.concat(acc["open"], F.lit(" "), word))
+        fits = F.length(joined) <= limit
+        tail = F.array_join(F.slice(F.split(acc["open"], " "), -F.least(F.lit(overlap_words), F.size(F.split(acc["open"], " "))), F.lit(overlap_words)), " ") if overlap_words else F.lit("")
+        next_open = F.when(acc["open"] == "", F.lit("")).otherwise(F.concat_ws(" ", F.nullif(tail, F.lit("")), word))
+        closed = F.when(acc["open"] == "", word).otherwise(acc["open"])
+        return F.struct(F.when(fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(closed))).alias("done"), F.when(fits, joined).otherwise(next_open).alias("open"))
+
+    return F.aggregate(F.filter(words, lambda w: w != ""), start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+
+
+def size_chunks(files: DataFrame, limit: int = SIZE, overlap_words: int = 0) -> DataFrame:
+    """Words packed by size; white space becomes single spaces."""
+    return _exploded(files, word_packs(F.split("content", r"\s+"), limit, overlap_words))
+
+
+#: Where a piece of code may begin.
+CODE_STARTS = r"(?m)^((?:export\s+)?(?:async\s+)?function\s+\w|(?:export\s+)?class\s+\w|(?:export\s+)?(?:const|let|var)\s+\w+\s*=|/\*\*)"
+
+
+def code_chunks(files: DataFrame, limit: int = SIZE, overlap_words: int = 0) -> DataFrame:
+    """Code cut before functions, classes, declarations and doc comments, and packed; a longer piece is packed by words.
+
+    ``start`` and ``end`` are the chunk's place in the text (null for packed
+    words, which are not in it as they are), ``section_title`` the name that
+    its first line declares.
+    """
+    pieces = F.filter(F.split(F.regexp_replace("content", CODE_STARTS, "\u0001$1"), "\u0001"), lambda p: p != "")
+    packed = F.flatten(F.transform(pack(pieces, limit, ""), lambda p: F.when(F.length(p) > limit, word_packs(F.split(p, r"\s+"), limit, overlap_words)).otherwise(F.array(F.regexp_replace(p, r"^\s+|\s+$", "")))))
+    chunks = _exploded(files, F.filter(packed, lambda c: c != ""))
+    return placed(chunks, files).withColumn("section_title", F.nullif(F.regexp_extract("content", r"^[^\n]*?(?:function|class|const|let|var)\s+(\w+)", 1), F.lit("")))
+
+
+def placed(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """Chunks with ``start`` and ``end``, counted from 0: the first place after the previous chunk's start at which each is in its text, or null."""
+    by_file = chunks.groupBy("file_seq", "path").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "content", "token_count"))).alias("c"))
+    j = by_file.join(files.select("file_seq", F.col("content").alias("_t")), "file_seq")
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, c: Column) -> Column:
+        hit = F.position(c["content"], F.substring(F.col("_t"), acc["at"] + 1, F.length("_t")))
+        start = F.when(hit > 0, hit - 1 + acc["at"])
+        return F.struct(F.coalesce(start + 1, acc["at"]).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+
+    starts = F.aggregate("c", first, step, lambda acc: acc["starts"])
+    rows = j.select("file_seq", "path", F.posexplode(F.arrays_zip("c", starts.alias("s"))).alias("_k", "z"))
+    return rows.select("file_seq", "path", F.col("z.c.chunk_id").alias("chunk_id"), F.col("z.c.content").alias("content"), F.col("z.c.token_count").alias("token_count"), F.col("z.s").alias("start"), (F.col("z.s") + F.length("z.c.content")).alias("end"))
+
+
 def json_chunks(files: DataFrame) -> DataFrame:
     """(path, chunk_id, key, content): the elements of a JSON array or the members of an object; other texts give nothing."""
     v = F.try_parse_json("content")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import time
+from collections import deque
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
@@ -48,6 +54,29 @@ def metrics(calls: DataFrame, name: str, value: str, success: str | None = None)
     return r.groupBy(name).agg(F.count("*").alias("n"), F.round(rate, 6).alias("success_rate"), F.round(F.avg(value), 6).alias("avg_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), at(0.5, 0).alias("p50"), at(0.95, 20).alias("p95"), at(0.99, 100).alias("p99"))
 
 
+class CallLog:
+    """Times calls of decorated functions on the driver; table() gives them to metrics()."""
+
+    def __init__(self, keep: int = 1000):
+        self.rows: deque[tuple] = deque(maxlen=keep)
+
+    def timed(self, f: Callable) -> Callable:
+        @functools.wraps(f)
+        def call(*args, **options):
+            began, ok = time.perf_counter(), False
+            try:
+                out = f(*args, **options)
+                ok = True
+                return out
+            finally:
+                self.rows.append((f.__name__, (time.perf_counter() - began) * 1000, ok, datetime.now(timezone.utc)))
+
+        return call
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.rows), "function_name string, elapsed_ms double, success boolean, ts timestamp")
+
+
 def recent_metrics(calls: DataFrame, name: str, ts: str = "ts", keep: int = 1000, tie: str = "event_id") -> DataFrame:
     """The last ``keep`` rows of each name."""
     w = Window.partitionBy(name).orderBy(F.desc(ts), F.desc(tie))

@@ -164,13 +164,14 @@ def confidence(rule: Rule, line: Column, path: Column) -> Column:
     return F.lit(rule.conf)
 
 
-def rule_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+def rule_hits(lines: DataFrame, rules: list[Rule], gates: dict[str, Column] | None = None) -> DataFrame:
     """Findings of all rules in one pass over the lines.
 
     Each line gives an array of the rules that hold (literal test, then regex)
     and only that is exploded; nothing is shuffled.  Rules of the same suffixes
     share one test of the path, and the suffixes of all rules together are a
     filter on the path, which Catalyst moves below the generation of lines.
+    ``gates`` are conditions of tools that come with the lines.
     """
     line, path, low = F.col("line"), F.col("path"), F.col("_low")
     every = {s for r in rules for s in r.suffixes} if all(r.suffixes for r in rules) else set()
@@ -181,7 +182,8 @@ def rule_hits(lines: DataFrame, rules: list[Rule]) -> DataFrame:
             F.lit(r.tool).alias("tool"), F.lit(r.seq).alias("rule_seq"), (F.concat(F.regexp_extract(line, r"(?iu)(?:#|//|/\*)\s*(FIXME|HACK|TODO|XXX)", 1), F.lit(" comment")) if r.tool == "todos" else F.lit(r.issue)).alias("issue"),
             F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.fix).alias("fix"), confidence(r, line, path).alias("confidence"), F.lit(r.cut).alias("cut"),
         )
-        hits.setdefault(r.suffixes, []).append(F.when(condition(r, line, path, low), made))
+        holds = condition(r, line, path, low)
+        hits.setdefault(r.suffixes, []).append(F.when(gates[r.tool] & holds if gates and r.tool in gates else holds, made))
     groups = [F.when(suffix_condition(path, suffixes), F.array_compact(F.array(*own))) for suffixes, own in hits.items()]
     every_hit = F.flatten(F.array_compact(F.array(*groups)))
     found = source.withColumn("_low", F.lower("line")).select("file_seq", "path", "line_no", "line", F.explode(every_hit).alias("h"))

@@ -39,45 +39,74 @@ def rule_scan(files: DataFrame, tool: str, custom: list[tuple[str, str, str]] |
 
 
 def rule_scans(files: DataFrame, tools: list[str]) -> DataFrame:
-    """Several rule tools in one pass over the lines."""
-    plain = [t for t in tools if not TOOLS[t][0].guard and t != "xss_vulnerabilities"]
-    out = rule_hits(lines(files), [r for t in plain for r in TOOLS[t]]) if plain else None
-    for t in tools:
-        if t not in plain:
-            part = xss_vulnerabilities(files) if t == "xss_vulnerabilities" else rule_scan(files, t)
-            out = part if out is None else out.unionByName(part)
-    return out
+    """Several rule tools in one pass over the lines.
+
+    What a tool asks of a file as a whole (a guard, or for markup sinks where
+    sanitisers are) is a column of the file, computed before its lines are
+    generated.
+    """
+    guards = {t: f"_guard{k}" for k, t in enumerate(tools) if TOOLS[t][0].guard}
+    kept = files.select("file_seq", "path", "extension", "content", *[(suffix_condition(F.col("path"), TOOLS[t][0].suffixes) & F.col("content").rlike(TOOLS[t][0].guard)).alias(c) for t, c in guards.items()])
+    gates = {t: F.col(c) for t, c in guards.items()}
+    carried = list(guards.values())
+    if "xss_vulnerabilities" in tools:
+        kept = kept.withColumn("_safe", _safe_lines())
+        gates["xss_vulnerabilities"] = ~F.exists("_safe", lambda k: (k <= F.col("line_no")) & (k >= F.col("line_no") - 5))
+        carried.append("_safe")
+    hits = rule_hits(lines(kept, carried), [r for t in tools for r in TOOLS[t]], gates)
+    return _quiet_sinks(hits) if "xss_vulnerabilities" in tools else hits
+
+
+def _safe_lines() -> Column:
+    """The numbers of the lines that hold a sanitiser, in files that may hold markup sinks."""
+    test = "(?iu)" + SANITIZER
+    found = F.transform(F.filter(F.transform(F.split("content", "\n", -1), lambda x, k: F.named_struct(F.lit("k"), k + 1, F.lit("safe"), x.rlike(test))), lambda s: s["safe"]), lambda s: s["k"])
+    likely = suffix_condition(F.col("path"), TOOLS["xss_vulnerabilities"][0].suffixes) & F.col("content").rlike(test)
+    return F.when(likely, found).otherwise(F.array().cast("array<int>"))
+
+
+def _quiet_sinks(hits: DataFrame) -> DataFrame:
+    """Markup sinks with a literal, in a test path or of an empty template are LOW, others HIGH."""
+    sink = F.col("tool") == "xss_vulnerabilities"
+    quiet = F.col("code").rlike(r"""\.innerHTML\s*=\s*(?:["'][^"']*["']|["']<|["']$|``)""") | P.is_test_path(F.col("file"))
+    confidence = F.when(sink, F.when(quiet, "LOW").otherwise("HIGH")).otherwise(F.col("confidence"))
+    return hits.withColumn("confidence", confidence).withColumn("issue", F.when(sink & quiet, F.concat("issue", F.lit(" (verify, may be sanitised)"))).otherwise(F.col("issue")))
 
 
 def xss_vulnerabilities(files: DataFrame) -> DataFrame:
     """Markup sinks without a sanitiser on the line or the five before it.
 
-    The look-back is a frame over the file's lines.  A literal, a test path
-    or an empty template lowers the confidence to LOW.
+    A literal, a test path or an empty template lowers the confidence to LOW.
     """
-    from pyspark.sql import Window
+    return rule_scans(files, ["xss_vulnerabilities"])
 
-    rules = TOOLS["xss_vulnerabilities"]
-    source = files.where(suffix_condition(F.col("path"), rules[0].suffixes))
-    near = Window.partitionBy("file_seq", "path").orderBy("line_no").rowsBetween(-5, 0)
-    marked = lines(source).withColumn("_safe", F.max(F.col("line").rlike("(?iu)" + SANITIZER)).over(near))
-    hits = rule_hits(marked.where(~F.col("_safe")), rules)
-    quiet = F.col("code").rlike(r"""\.innerHTML\s*=\s*(?:["'][^"']*["']|["']<|["']$|``)""") | P.is_test_path(F.col("file"))
-    return hits.withColumn("confidence", F.when(quiet, "LOW").otherwise("HIGH")).withColumn("issue", F.when(quiet, F.concat("issue", F.lit(" (verify, may be sanitised)"))).otherwise(F.col("issue")))
 
+#: A scan of whole files: which files it wants, and what it finds in one.
+Work = Callable[[str, list[str], str], list[tuple]]
 
-def per_file(files: DataFrame, tool: str, where: Column, work: Callable[[str, list[str], str], list[tuple]]) -> DataFrame:
-    """``work(path, lines, content) -> [(line, code, issue, confidence, severity, fix, category)]`` for the files that ``where`` keeps."""
+
+def per_file(files: DataFrame, scans: dict[str, tuple[Column, Work]]) -> DataFrame:
+    """``work(path, lines, content) -> [(line, code, issue, confidence, severity, fix, category)]`` of several scans, in one Python pass over the files that any of them wants.
+
+    A null content has no finding.
+    """
+    names = list(scans)
+    works = [work for _, work in scans.values()]
+    wanted = F.array(*[F.coalesce(where, F.lit(False)) for where, _ in scans.values()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for seq, path, content in zip(batch.file_seq, batch.path, batch.content):
-                for k, (line, code, *rest) in enumerate(work(path, content.split("\n"), content)):
-                    rows.append((tool, k + 1, seq, path, line, code, *rest))
+            for seq, path, content, want in zip(batch.file_seq, batch.path, batch.content, batch.wanted):
+                cut = content.split("\n")
+                for name, work, on in zip(names, works, want):
+                    if on:
+                        for k, (line, code, *rest) in enumerate(work(path, cut, content)):
+                            rows.append((name, k + 1, seq, path, line, code, *rest))
             yield pd.DataFrame(rows, columns=list(FINDING_COLUMNS))
 
-    return files.where(where).select("file_seq", "path", "content").mapInPandas(run, SCHEMA)
+    chosen = files.where(F.col("content").isNotNull()).select("file_seq", "path", "content", wanted.alias("wanted"))
+    return chosen.where(F.exists("wanted", lambda x: x)).mapInPandas(run, SCHEMA)
 
 
 def _ends(*suffixes: str) -> Column:
@@ -176,7 +205,7 @@ def _force_unwraps(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def force_unwraps(files: DataFrame) -> DataFrame:
-    return per_file(files, "force_unwraps", _ends(".swift") & _has("!"), _force_unwraps)
+    return per_file(files, {"force_unwraps": PER_FILE["force_unwraps"]()})
 
 
 _HOLDERS = tuple(
@@ -205,7 +234,7 @@ def _weak_self(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def weak_self_issues(files: DataFrame) -> DataFrame:
-    return per_file(files, "weak_self_issues", _ends(".swift") & _has("class ", "actor "), _weak_self)
+    return per_file(files, {"weak_self_issues": PER_FILE["weak_self_issues"]()})
 
 
 def _cloudkit(path: str, rows: list[str], content: str) -> list[tuple]:
@@ -228,7 +257,7 @@ def _cloudkit(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def cloudkit_issues(files: DataFrame) -> DataFrame:
-    return per_file(files, "cloudkit_issues", _ends(".swift") & _has("CloudKit", "CKRecord"), _cloudkit)
+    return per_file(files, {"cloudkit_issues": PER_FILE["cloudkit_issues"]()})
 
 
 def _task_cancellation(path: str, rows: list[str], content: str) -> list[tuple]:
@@ -251,7 +280,7 @@ def _task_cancellation(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def task_cancellation_issues(files: DataFrame) -> DataFrame:
-    return per_file(files, "task_cancellation_issues", _ends(".swift") & _has("Task"), _task_cancellation)
+    return per_file(files, {"task_cancellation_issues": PER_FILE["task_cancellation_issues"]()})
 
 
 def _mainactor(path: str, rows: list[str], content: str) -> list[tuple]:
@@ -276,8 +305,7 @@ def _mainactor(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def mainactor_issues(files: DataFrame) -> DataFrame:
-    view_model = F.lower("content").contains("viewmodel")
-    return per_file(files, "mainactor_issues", _ends(".swift") & (_has("ObservableObject") | view_model), _mainactor)
+    return per_file(files, {"mainactor_issues": PER_FILE["mainactor_issues"]()})
 
 
 _OPENS = re.compile(expanded(r"\(~(?:e|err|error)~(?:\)~=>|,)|=>~\{|function~\("))
@@ -299,7 +327,18 @@ def _callback_hell(path: str, rows: list[str], content: str) -> list[tuple]:
 
 
 def callback_hell(files: DataFrame) -> DataFrame:
-    return per_file(files, "callback_hell", _ends(".cjs", ".js", ".mjs", ".ts"), _callback_hell)
+    return per_file(files, {"callback_hell": PER_FILE["callback_hell"]()})
+
+
+#: Scans of whole files, which share one Python pass: which files each wants, and its work.
+PER_FILE: dict[str, Callable[[], tuple[Column, Work]]] = {
+    "force_unwraps": lambda: (_ends(".swift") & _has("!"), _force_unwraps),
+    "weak_self_issues": lambda: (_ends(".swift") & _has("class ", "actor "), _weak_self),
+    "cloudkit_issues": lambda: (_ends(".swift") & _has("CloudKit", "CKRecord"), _cloudkit),
+    "task_cancellation_issues": lambda: (_ends(".swift") & _has("Task"), _task_cancellation),
+    "mainactor_issues": lambda: (_ends(".swift") & (_has("ObservableObject") | F.lower("content").contains("viewmodel")), _mainactor),
+    "callback_hell": lambda: (_ends(".cjs", ".js", ".mjs", ".ts"), _callback_hell),
+}
 
 
 def code_smells(files: DataFrame) -> DataFrame:
@@ -349,15 +388,28 @@ SCANS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 
 def scan(files: DataFrame, tools: list[str]) -> DataFrame:
-    """Any tools by name; rule tools share one pass."""
-    ruled = list(dict.fromkeys(t for t in tools if t in TOOLS))
-    out = rule_scans(files, ruled) if ruled else None
-    for t in dict.fromkeys(t for t in tools if t not in TOOLS):
-        part = SCANS[t](files)
-        out = part if out is None else out.unionByName(part)
+    """Any tools by name; rule tools share one pass over the lines, scans of whole files one Python pass."""
+    named = list(dict.fromkeys(tools))
+    ruled, whole = [t for t in named if t in TOOLS], [t for t in named if t in PER_FILE]
+    parts = [rule_scans(files, ruled)] if ruled else []
+    parts += [per_file(files, {t: PER_FILE[t]() for t in whole})] if whole else []
+    parts += [SCANS[t](files) for t in named if t not in TOOLS and t not in PER_FILE]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
+def scan_summary(files: DataFrame, tools: list[str], least: str = "MEDIUM") -> DataFrame:
+    """(tool, n_found, n_kept) of the tools that a filter by confidence leaves: those with findings at the confidence or above, and those that found nothing to start with."""
+    found = scan(files, tools)
+    rank = F.greatest(P.rank(F.col("confidence"), P.CONFIDENCE_RANK), F.lit(1))
+    counts = found.groupBy("tool").agg(F.count("*").alias("n_found"), F.count_if(rank >= P.CONFIDENCE_RANK[least]).alias("n_kept"))
+    names = files.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(tools)], "tool string")
+    joined = names.join(counts, "tool", "left").select("tool", F.coalesce("n_found", F.lit(0)).alias("n_found"), F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+    return joined.where("n_kept > 0 or n_found = 0")
+
+
 def filter_by_confidence(findings: DataFrame, least: str = "MEDIUM") -> DataFrame:
     """FILTERED ranks with LOW."""
     rank = F.greatest(P.rank(F.col("confidence"), P.CONFIDENCE_RANK), F.lit(1))
@@ -373,7 +425,8 @@ def run_batch(files: DataFrame, batch: str, least: str = "MEDIUM", include_quali
     found = scan(files, tools)
     twice = [t for t in dict.fromkeys(tools) if tools.count(t) > 1]
     if twice:
-        found = found.unionByName(scan(files, twice))
+        times = F.when(F.col("tool").isin(*twice), 2).otherwise(1)
+        found = found.select("*", F.explode(F.array_repeat(F.lit(0), times)).alias("_copy")).drop("_copy")
     return found if batch == "persistence" else filter_by_confidence(found, least)
 
 

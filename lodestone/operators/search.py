@@ -88,21 +88,27 @@ def multi_search(files: DataFrame, searches: list[tuple[str, str]], cap: int = 5
     return flat
 
 
-#: Bytes of terms that one automaton holds; more terms are compared by a join.
+#: Bytes of terms that one automaton holds; more terms take several passes over the files.
 TERM_BYTES = 16 << 20
 
 
-def literal_search(files: DataFrame, terms: DataFrame, term_col: str = "term") -> DataFrame:
+def literal_search(files: DataFrame, terms: DataFrame, term_col: str = "term", pass_bytes: int = TERM_BYTES) -> DataFrame:
     """(term, file_seq, path, line_no, line): case-insensitive substrings, every term against every line.
 
-    The terms are measured first.  Up to ``TERM_BYTES`` they are sent to the
-    files as one automaton, whose time doesn't depend on their number; beyond,
-    lines and terms are joined on containment.
+    The terms are measured and sent to the files in parts of ``pass_bytes`` at
+    most, each as one automaton, whose time doesn't depend on their number.
     """
     t = terms.select(F.col(term_col).alias("term"), F.lower(term_col).alias("_low")).where("_low <> ''").distinct()
     size = t.agg(F.coalesce(F.sum(F.octet_length("_low")), F.lit(0))).first()[0]
-    if size > TERM_BYTES:
-        return lines(files).join(t, F.lower("line").contains(F.col("_low"))).select("term", "file_seq", "path", "line_no", "line")
+    passes = max(1, -(-size // pass_bytes))
+    out = None
+    for n in range(passes):
+        made = _literal_pass(files, t if passes == 1 else t.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == n))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def _literal_pass(files: DataFrame, t: DataFrame) -> DataFrame:
     sent = files.sparkSession.sparkContext.broadcast([(r.term, r["_low"]) for r in t.collect()])
 
     def run(batches):
@@ -202,4 +208,4 @@ def glob_files(files: DataFrame, pattern: str, most: int = 1000) -> DataFrame:
     parts = {"**/": r"(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
     regex = "".join(parts.get(x, re.escape(x)) for x in re.split(r"(\*\*/|\*\*|\*|\?)", pattern))
     hit = files.where(F.col("path").rlike(f"^{regex}$") & ~F.col("path").rlike(r"(?:^|/)\.")).select("file_seq", "path")
-    return hit.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("file_seq").limit(most)
+    return hit.orderBy("file_seq").limit(most).crossJoin(hit.agg(F.count("*").alias("total")))

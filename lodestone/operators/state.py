@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -58,9 +62,17 @@ def evict_oldest(memory: DataFrame, most: int = 10_000, drop: int = 100) -> Data
 
 
 def evict_by_size(memory: DataFrame, to_free: int) -> DataFrame:
-    """Oldest first until ``to_free`` bytes are free; the last one may free more."""
-    order = Window.orderBy("stored_at", "key").rowsBetween(Window.unboundedPreceding, -1)
-    return memory.withColumn("_freed", F.coalesce(F.sum("size_bytes").over(order), F.lit(0))).where(F.col("_freed") >= to_free).drop("_freed")
+    """Oldest first until ``to_free`` bytes are free; the last one may free more.
+
+    The running sum is two-level, within an hour and over the hours' sums, so
+    no task sorts the whole memory.
+    """
+    hours = memory.withColumn("_hour", F.floor(_micros(F.col("stored_at")) / 3_600_000_000))
+    before = Window.unboundedPreceding
+    base = hours.groupBy("_hour").agg(F.sum("size_bytes").alias("_sum")).select(F.col("_hour").alias("_h"), F.coalesce(F.sum("_sum").over(Window.orderBy("_hour").rowsBetween(before, -1)), F.lit(0)).alias("_base"))
+    inner = F.coalesce(F.sum("size_bytes").over(Window.partitionBy("_hour").orderBy("stored_at", "key").rowsBetween(before, -1)), F.lit(0))
+    placed = hours.withColumn("_inner", inner).join(base, F.col("_hour").eqNullSafe(F.col("_h")))
+    return placed.where(F.col("_base") + F.col("_inner") >= to_free).select(*memory.columns)
 
 
 def memory_stats(memory: DataFrame) -> DataFrame:
@@ -80,20 +92,70 @@ def not_expired(cache: DataFrame, now: Column, ttl_seconds: int, inclusive: bool
     return cache.where(age <= limit if inclusive else age < limit)
 
 
-def nearest_by_vector(queries: DataFrame, cache: DataFrame, least: float = 0.85) -> DataFrame:
+def _most_similar(scored: DataFrame) -> DataFrame:
+    """Of each query's (key, similarity) the most similar, of equals the least key; keys of any type that has an order."""
+    best = F.min_by(F.struct("key", "similarity"), F.struct(-F.col("similarity"), F.col("key")))
+    return scored.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.key", "b.similarity")
+
+
+#: Bytes of cached vectors that one pass holds in each worker; a larger cache takes several passes.
+VECTOR_BYTES = 64 << 20
+
+
+def nearest_by_vector(queries: DataFrame, cache: DataFrame, least: float = 0.85, pass_bytes: int = VECTOR_BYTES) -> DataFrame:
     """(query_id, key, similarity): the most similar cached vector, of equals the least key, if it reaches ``least``.
 
-    All pairs are compared, with norms taken once a vector.  The cached side is broadcast by Spark only below
-    its threshold; otherwise the pairs are made by a partitioned product.
+    All pairs are compared, as products of numpy matrices: the cache is
+    measured and sent to the queries in parts of ``pass_bytes`` at most.
+    Vectors of another length or of norm 0 have similarity 0; null vectors and
+    keys have none.  Similarities are rounded to 12 digits, so that equal
+    vectors tie.
     """
-    norm = F.sqrt(T.dot(F.col("embedding"), F.col("embedding")))
-    left = queries.select("query_id", F.col("embedding").alias("_q"), norm.alias("_m"))
-    right = cache.select("key", F.col("embedding").alias("_c"), norm.alias("_n"))
-    norms = F.col("_m") * F.col("_n")
-    similarity = F.when((F.size("_q") == F.size("_c")) & (norms > 0), T.dot(F.col("_q"), F.col("_c")) / norms).otherwise(0.0)
-    scored = left.crossJoin(right).select("query_id", "key", similarity.alias("similarity")).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("key", "similarity"), F.struct(F.col("similarity"), -F.col("key")))
-    return scored.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.key", "b.similarity")
+    spark = queries.sparkSession
+    kept = cache.where("key is not null and embedding is not null").select("key", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = kept.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
+    passes = max(1, -(-size // pass_bytes))
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, key {dict(cache.dtypes)['key']}, similarity double"
+    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    out = None
+    for n in range(passes):
+        part = kept if passes == 1 else kept.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == n)
+        got = part.toArrow()
+        rows = sorted(zip(got["key"].to_pylist(), got["embedding"].to_pylist()), key=lambda r: r[0])
+        sent = spark.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            by_size: dict[int, tuple[list, list]] = {}
+            for key, v in sent.value:
+                keys, vectors = by_size.setdefault(len(v), ([], []))
+                keys.append(key)
+                vectors.append(v)
+            ready = {k: (keys, *_unit(np.array(vectors, np.float64).reshape(len(keys), k))) for k, (keys, vectors) in by_size.items()}
+            for batch in batches:
+                found = []
+                for k, rows in batch.groupby(batch.embedding.map(len)):
+                    asked, _ = _unit(np.stack(rows.embedding.to_numpy()).astype(np.float64).reshape(len(rows), k))
+                    keys, vectors, _ = ready.get(k, ([], np.zeros((0, k)), None))
+                    others = [kept[0] for j, (kept, *_) in ready.items() if j != k]  # of similarity 0
+                    for lo in range(0, len(rows), 256):
+                        scores = np.round(asked[lo : lo + 256] @ vectors.T, 12)
+                        for query, row in zip(rows.query_id.iloc[lo : lo + 256], scores):
+                            if len(row):
+                                at = int(row.argmax())  # the first of equals, and keys are in order
+                                found.append((query, keys[at], float(row[at])))
+                            if others:
+                                found.append((query, min(others), 0.0))
+                yield pd.DataFrame(found, columns=["query_id", "key", "similarity"])
+
+        made = asked.mapInPandas(run, kinds)
+        out = made if out is None else out.unionByName(made)
+    return _most_similar(out.where(F.col("similarity") >= least))
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of norm 1 (or 0), and their norms."""
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return rows / np.where(norm > 0, norm, 1.0), norm
 
 
 def nearest_by_words(queries: DataFrame, cache: DataFrame, least: float = 0.7) -> DataFrame:
@@ -104,18 +166,45 @@ def nearest_by_words(queries: DataFrame, cache: DataFrame, least: float = 0.7) -
     words first, only texts that share a rare word meet, and only if their
     sizes allow the similarity; the sets themselves join afterwards.
     """
-    sides = queries.select(F.lit(True).alias("q"), F.col("query_id").alias("id"), T.word_set(F.col("text")).alias("w")).unionByName(cache.select(F.lit(False).alias("q"), F.col("key").alias("id"), T.word_set(F.col("text")).alias("w"))).where(F.size("w") >= 2)
-    words = sides.select("q", "id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    asked = queries.select(F.lit(True).alias("q"), "query_id", T.word_set(F.col("text")).alias("w"))
+    held = cache.select(F.lit(False).alias("q"), "key", T.word_set(F.col("text")).alias("w"))
+    sides = asked.unionByName(held, allowMissingColumns=True).where(F.size("w") >= 2)  # ids of the two sides may differ in type
+    words = sides.select("q", "query_id", "key", F.size("w").alias("n"), F.explode("w").alias("word"))
     common = words.groupBy("word").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("q", "id").orderBy("df", "word"))
+    rank = F.row_number().over(Window.partitionBy("q", "query_id", "key").orderBy("df", "word"))
     prefix = words.join(common, "word").withColumn("_r", rank).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
-    left = prefix.where("q").select("word", F.col("id").alias("query_id"), F.col("n").alias("_n"))
-    right = prefix.where("not q").select("word", F.col("id").alias("key"), F.col("n").alias("_m"))
+    left = prefix.where("q").select("word", "query_id", F.col("n").alias("_n"))
+    right = prefix.where("not q").select("word", "key", F.col("n").alias("_m"))
     pairs = left.join(right, "word").where((F.col("_m") >= F.col("_n") * least) & (F.col("_n") >= F.col("_m") * least)).select("query_id", "key").distinct()
-    sets = lambda on, kind, name: sides.where(kind).select(F.col("id").alias(on), F.col("w").alias(name))
+    sets = lambda on, kind, name: sides.where(kind).select(on, F.col("w").alias(name))
     scored = pairs.join(sets("query_id", "q", "w"), "query_id").join(sets("key", "not q", "v"), "key").select("query_id", "key", T.jaccard(F.col("w"), F.col("v")).alias("similarity")).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("key", "similarity"), F.struct(F.col("similarity"), -F.col("key")))
-    return scored.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.key", "b.similarity")
+    return _most_similar(scored)
+
+
+def cache_put(cache: DataFrame, new: DataFrame, most: int = 1000) -> DataFrame:
+    """A response cache (key, ts and more) with new entries: the last of a key stays, and of those the ``most`` youngest (of equal times the greatest keys)."""
+    w = Window.partitionBy("key").orderBy(F.desc("ts"))
+    last = cache.unionByName(new).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return last.orderBy(F.desc("ts"), F.desc("key")).limit(most)
+
+
+def cache_load(spark: SparkSession, path: str, now: Column, ttl_seconds: int, most: int = 1000) -> DataFrame:
+    """The entries of a stored cache that are still valid, the ``most`` youngest."""
+    return not_expired(spark.read.parquet(path), now, ttl_seconds, inclusive=False).orderBy(F.desc("ts"), F.desc("key")).limit(most)
+
+
+def clear(memory: DataFrame) -> DataFrame:
+    return memory.where(F.lit(False))
+
+
+def reuse_stats(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """One row: files, hits (fingerprint as cached), changed, new, and hit_rate; cache has path and content_hash."""
+    now = fingerprints(files)
+    before = cache.select("path", F.col("content_hash").alias("_old")).groupBy("path").agg(F.collect_set("_old").alias("_old"))
+    j = now.join(before, "path", "left")
+    hit = F.coalesce(F.array_contains("_old", F.col("content_hash")), F.lit(False))
+    out = j.agg(F.count("*").alias("files"), F.count_if(hit).alias("hits"), F.count_if(~hit & F.col("_old").isNotNull()).alias("changed"), F.count_if(F.col("_old").isNull()).alias("new"))
+    return out.withColumn("hit_rate", F.when(F.col("files") > 0, F.round(F.col("hits") / F.col("files"), 6)).otherwise(0.0))
 
 
 def fingerprints(files: DataFrame) -> DataFrame:

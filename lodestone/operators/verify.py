@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +46,51 @@ def resolve_paths(refs: DataFrame, files: DataFrame, file_col: str = "file") ->
     return refs.join(best.select(F.col("_ref").alias("_k"), F.col("path").alias("resolved"), F.col("_rank").alias("match_rank")), F.col(file_col) == F.col("_k"), "left").drop("_k")
 
 
+def _line_matches(text: pd.Series, pattern: pd.Series) -> pd.DataFrame:
+    """Whether a line has a match, in any case; a pattern that is none gives its error instead.  Each is compiled once a batch."""
+    compiled: dict[str, re.Pattern | str] = {}
+    for p in pattern.dropna().unique():
+        try:
+            compiled[p] = re.compile(p, re.IGNORECASE)
+        except re.error as error:
+            compiled[p] = f"invalid pattern: {error}"
+    rows = []
+    for t, p in zip(text, pattern):
+        c = compiled.get(p)
+        rows.append((False, c) if isinstance(c, str) else (bool(c and t is not None and c.search(t)), None))
+    return pd.DataFrame(rows, columns=["matches", "error"])
+
+
 def verify_lines(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """refs (file, line, and perhaps pattern) with resolved, n_lines, text, in_range and matches."""
+    """refs (file, line, and perhaps pattern) with resolved, n_lines, text, in_range and matches, and pattern_error where there is a pattern.
+
+    Only files that are referred to are cut into lines, and only the lines
+    asked for are taken out.
+    """
     found = resolve_paths(refs, files)
-    sizes = files.select(F.col("path").alias("_p"), F.size(F.split("content", "\n", -1)).alias("n_lines"))
-    text = lines(files).select(F.col("path").alias("_q"), F.col("line_no").alias("_l"), F.col("line").alias("text"))
-    out = found.join(sizes, F.col("resolved") == F.col("_p"), "left").join(text, (F.col("resolved") == F.col("_q")) & (F.col("line") == F.col("_l")), "left").drop("_p", "_q", "_l")
-    in_range = F.coalesce(F.col("line").between(1, F.col("n_lines")), F.lit(False))
-    matches = F.coalesce(F.expr("text rlike concat('(?iu)', pattern)"), F.lit(False)) if "pattern" in refs.columns else F.col("text").isNotNull()
-    return out.withColumn("in_range", in_range).withColumn("matches", matches)
+    named = files.select("path", "content").join(found.select(F.col("resolved").alias("path")).distinct(), "path", "left_semi")
+    cut = named.select(F.col("path").alias("_p"), F.split("content", "\n", -1).alias("_lines"))
+    out = found.join(cut, F.col("resolved") == F.col("_p"), "left").withColumn("n_lines", F.size("_lines")).withColumn("text", F.get("_lines", F.col("line") - 1))
+    out = out.withColumn("n_lines", F.when(F.col("_p").isNotNull(), F.col("n_lines"))).drop("_p", "_lines")
+    out = out.withColumn("in_range", F.coalesce(F.col("line").between(1, F.col("n_lines")), F.lit(False)))
+    if "pattern" not in refs.columns:
+        return out.withColumn("matches", F.col("text").isNotNull())
+    return out.withColumn("_m", F.pandas_udf(_line_matches, "struct<matches boolean, error string>")("text", "pattern")).withColumn("matches", F.col("_m.matches")).withColumn("pattern_error", F.col("_m.error")).drop("_m")
 
 
 def clamp_lines(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings beyond their file's end move to its last line and become LOW; unknown files stay as they are."""
-    sized = files.select(F.col("path").alias("_p"), F.size(F.split("content", "\n", -1)).alias("_n"))
-    j = findings.join(sized, F.col("file") == F.col("_p"), "left")
+    """Findings beyond their file's end move to its last line and become LOW; unknown files stay as they are.
+
+    A file is found as resolve_paths() does: exactly, else by the end of its
+    path, its name, or a part of its path.
+    """
+    found = resolve_paths(findings, files)
+    named = files.join(found.select(F.col("resolved").alias("path")).distinct(), "path", "left_semi")
+    sized = named.select(F.col("path").alias("_p"), F.size(F.split("content", "\n", -1)).alias("_n"))
+    j = found.join(sized, F.col("resolved") == F.col("_p"), "left")
     over = F.coalesce((F.col("_n") > 0) & (F.col("line") > F.col("_n")), F.lit(False))
     out = j.withColumn("confidence", F.when(over, "LOW").otherwise(F.col("confidence"))).withColumn("code", F.when(over, F.concat("code", F.lit(" [line adjusted]"))).otherwise(F.col("code")))
-    return out.withColumn("line", F.when(over, F.col("_n")).otherwise(F.col("line"))).drop("_p", "_n")
+    return out.withColumn("line", F.when(over, F.col("_n")).otherwise(F.col("line"))).select(*findings.columns)
 
 
 def verification_score(file_accuracy: Column, line_accuracy: Column, corrections: Column, warnings: Column) -> Column:

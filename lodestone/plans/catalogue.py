@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions import text as T
-from ..operators import chunks, report, rules, scanners, search, state, structure, verify
+from ..operators import answers, chunks, report, rules, scanners, search, state, structure, verify
 from ..operators.rulesets import BATCHES
 from ..sources import corpus
 from . import sample
@@ -266,24 +266,54 @@ def scanner_totals(spark, sf_dir):
     return report.scanner_totals(scanners.scan(scan_files(spark, sf_dir), _PLAIN_SECURITY))
 
 
+#: What the whole-file scans must find in the sample, read off its texts: (tool, rule_seq, file, line, code, issue, confidence, severity, fix, category).
+_EXPECTED = [
+    ("force_unwraps", 1, "app/Main.swift", 7, "let name = value!", "Value is force-unwrapped (constant)", "MEDIUM", "MEDIUM", "Bind the value or give a default", "force_unwrap"),
+    ("force_unwraps", 2, "app/Main.swift", 10, "items = try! decode(data)", "Value is force-unwrapped", "HIGH", "MEDIUM", "Bind the value or give a default", "force_unwrap"),
+    ("force_unwraps", 3, "app/Main.swift", 11, "let x = y as! Item", "Value is force-unwrapped (constant)", "MEDIUM", "MEDIUM", "Bind the value or give a default", "force_unwrap"),
+    ("force_unwraps", 4, "app/Main.swift", 39, "print(other!)", "Value is force-unwrapped (appears guarded)", "HIGH", "MEDIUM", "Bind the value or give a default", "force_unwrap"),
+    ("force_unwraps", 5, "app/Main.swift", 10, "items = try! decode(data)", "Forced try", "HIGH", "HIGH", "Bind the value or give a default", "force_unwrap"),
+    ("force_unwraps", 6, "app/Main.swift", 11, "let x = y as! Item", "Forced cast (constant)", "MEDIUM", "MEDIUM", "Bind the value or give a default", "force_unwrap"),
+    ("weak_self_issues", 1, "app/Main.swift", 16, "timer = Timer.scheduledTimer(withTimeInterval: 1, repeats: true) { _ in", "Timer closure holds self strongly", "HIGH", "HIGH", "Capture self weakly", "weak_self"),
+    ("cloudkit_issues", 1, "app/Main.swift", 22, "database.save(record)", "Cloud operation without error handling", "LOW", "MEDIUM", "Check the handling of errors", "cloudkit"),
+    ("task_cancellation_issues", 1, "app/Main.swift", 23, "Task {", "Task never checks for cancellation", "MEDIUM", "MEDIUM", "Check for cancellation in the loop", "task_cancellation"),
+    ("mainactor_issues", 1, "app/Main.swift", 3, "class MainViewModel: ObservableObject {", "Observable object off the main actor", "MEDIUM", "MEDIUM", "Mark the class with the main actor", "mainactor"),
+    ("mainactor_issues", 2, "app/Main.swift", 10, "items = try! decode(data)", "Published value items changed off the main actor", "HIGH", "HIGH", "Change it on the main actor", "mainactor"),
+    ("callback_hell", 1, "web/view.js", 17, "a(function(e) { b(function(e) { c(function(e) { d(function(e) {", "Callbacks nested 4 deep", "HIGH", "HIGH", "Flatten with async and await", "callback_hell"),
+]
+
+
+def _expected_sql(tool: str) -> str:
+    seq = {path: k for k, (path, _) in enumerate(sample.FILES)}
+    t = rules.sql_text
+    rows = [f"({t(r[0])}, {r[1]}, {seq[r[2]]}::BIGINT, {t(r[2])}, {r[3]}, {', '.join(map(t, r[4:]))})" for r in _EXPECTED if r[0] == tool]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(tool, rule_seq, file_seq, file, line, code, issue, confidence, severity, fix, category)"
+
+
+for _tool in dict.fromkeys(r[0] for r in _EXPECTED):
+    ORACLES[f"scan_{_tool}"] = _expected_sql(_tool)
+
+
+def _tool_sql(tool: str) -> str:
+    if tool == "xss_vulnerabilities":
+        return _xss_sql()
+    if tool == "long_functions":
+        return f"WITH e AS ({_FUNCTIONS_SQL}) SELECT 'long_functions' AS tool, 1 AS rule_seq, file_seq, path AS file, start_line AS line, concat(name, '(): ', length, ' lines') AS code, concat('Function of ', length, ' lines, more than 30') AS issue, 'HIGH' AS confidence, CASE WHEN length > 100 THEN 'HIGH' WHEN length > 60 THEN 'MEDIUM' ELSE 'LOW' END AS severity, 'Split the function' AS fix, 'long_functions' AS category FROM e WHERE length > 30"
+    return rules.sql_scan(rules.TOOLS[tool], SCAN_SQL) if tool in rules.TOOLS else _expected_sql(tool)
+
+
 def _add_batch(batch: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scanners.run_batch(scan_files(spark, sf_dir), batch)
 
     QUERIES[f"batch_{batch}"] = run
     tools = BATCHES[batch]
-    if all(t in rules.TOOLS for t in tools):
+    if batch != "quality_all":  # its smells and unreachable lines need look-around
         keep = "" if batch == "persistence" else " WHERE confidence IN ('HIGH', 'MEDIUM')"
-        found = f"SELECT * FROM ({rules.sql_scan([r for t in tools if t != 'xss_vulnerabilities' for r in rules.TOOLS[t]], SCAN_SQL)})"
-        if "xss_vulnerabilities" in tools:
-            found += f" UNION ALL SELECT * FROM ({_xss_sql()})"
+        found = " UNION ALL ".join(f"SELECT * FROM ({_tool_sql(t)})" for t in tools)
         ORACLES[f"batch_{batch}"] = f"SELECT * FROM ({found}){keep}"
 
 
-for _batch in BATCHES:
-    _add_batch(_batch)
-
-
 _SAMPLE_LINES = f"files AS ({sample.sql()}), lines AS (SELECT file_seq, path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no, len(string_split(content, chr(10)))::INT AS n_lines FROM files)"
 
 
@@ -296,6 +326,10 @@ e AS (SELECT file_seq, path, name, start_line, coalesce(lead(start_line) OVER (P
 SELECT *, end_line - start_line + 1 AS length FROM e"""
 
 
+for _batch in BATCHES:
+    _add_batch(_batch)
+
+
 @query(_FUNCTIONS_SQL)
 def function_length(spark, sf_dir):
     return structure.functions(sample.files(spark))
@@ -499,9 +533,9 @@ def tag_index(spark, sf_dir):
     return state.tag_index(state.latest(_memory(spark, sf_dir)))
 
 
-@query(f"WITH {_MEM} SELECT key, substr(value, 1, 200) AS value, tags FROM mem WHERE contains(lower(value), 'view:1')")
+@query(f"WITH {_MEM} SELECT key, substr(value, 1, 200) AS value, tags FROM mem WHERE contains(lower(value), 'view:')")
 def memory_recall_text(spark, sf_dir):
-    return state.recall(state.latest(_memory(spark, sf_dir)), part="VIEW:1")
+    return state.recall(state.latest(_memory(spark, sf_dir)), part="VIEW:")
 
 
 @query(f"WITH {_MEM} SELECT * FROM mem ORDER BY stored_at DESC, key LIMIT 20 OFFSET 5")
@@ -588,8 +622,8 @@ def props_json(spark, sf_dir):
 # web pages
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+def _pages(spark: SparkSession, sf_dir: str, content: str = "html") -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("html", F.expr(content))
     return corpus.as_files(p, F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html"), F.col("page_id"))
 
 
@@ -601,14 +635,19 @@ def html_accessibility(spark, sf_dir):
     return scanners.rule_scan(_pages(spark, sf_dir), "a11y_issues")
 
 
-@query(rules.sql_scan(rules.TOOLS["dom_security"], _PAGES_SQL))
+#: Pages followed by a line of code, by page: a sink, a timer with text, a message to any origin, or none of these.
+_SCRIPTED = "concat(html, chr(10), CASE page_id % 4 WHEN 0 THEN 'box.innerHTML = text' WHEN 1 THEN 'setTimeout(\"go()\", 5)' WHEN 2 THEN 'top.postMessage(x, \"*\")' ELSE 'box.textContent = text' END)"
+
+
+@query(rules.sql_scan(rules.TOOLS["dom_security"], _PAGES_SQL.replace("html AS content", _SCRIPTED + " AS content")))
 def html_dom_security(spark, sf_dir):
-    return scanners.rule_scan(_pages(spark, sf_dir), "dom_security")
+    return scanners.rule_scan(_pages(spark, sf_dir, _SCRIPTED), "dom_security")
 
 
-@query(r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<img[^>]*>')) AS tag FROM pages) SELECT page_id, count(*) AS n_images, count(*) FILTER (WHERE NOT regexp_matches(tag, '(?i)\salt\s*=')) AS n_without_alt FROM t GROUP BY page_id")
+@query(r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(concat(html, CASE page_id % 3 WHEN 0 THEN '<img src=a.png><IMG ALT=b>' WHEN 1 THEN '<img alt=c>' ELSE '' END), '(?i)<img[^>]*>')) AS tag FROM pages) SELECT page_id, count(*) AS n_images, count(*) FILTER (WHERE NOT regexp_matches(tag, '(?i)\salt\s*=')) AS n_without_alt FROM t GROUP BY page_id")
 def html_img_without_alt(spark, sf_dir):
-    tags = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?i)(<img[^>]*>)"), F.lit(1))).alias("tag"))
+    more = F.expr("concat(html, CASE page_id % 3 WHEN 0 THEN '<img src=a.png><IMG ALT=b>' WHEN 1 THEN '<img alt=c>' ELSE '' END)")
+    tags = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all(more, F.lit(r"(?i)(<img[^>]*>)"), F.lit(1))).alias("tag"))
     return tags.groupBy("page_id").agg(F.count("*").alias("n_images"), F.count_if(~F.col("tag").rlike(r"(?i)\salt\s*=")).alias("n_without_alt"))
 
 
@@ -671,6 +710,141 @@ def answer_findings(spark, sf_dir):
     return project.answer_findings(answers)
 
 
+# questions, answers, annotated texts, tokens and cost
+
+
+_QUESTION = "concat('**Find** _', lang, '_ `', substr(text, 1, 40), '` {', doc_id, '}', chr(10), chr(10), chr(10), chr(10), '# Head *', source, '*')"
+
+
+@query(rf"""WITH q AS (SELECT doc_id, replace(replace({_QUESTION}, '{{', '{{{{'), '}}', '}}}}') AS q FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '\*\*([^*]+)\*\*', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '__([^_]+)__', '\1', 'g'), '_([^_]+)_', '\1', 'g'), '(?m)^#+\s*', '', 'g'), '`([^`]+)`', '\1', 'g'), '```[^\n]*\n?', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS query FROM q""")
+def sanitized_questions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", answers.sanitized(F.expr(_QUESTION)).alias("query"))
+
+
+_NUMBERED = "concat('Find (1) ', source, ' in table_remove ( 2 ) missing check before assignAgent. (3) what (now)', CASE WHEN doc_id % 2 = 0 THEN ' (4) \"Quoted Text\" A' ELSE '' END)"
+
+
+@query(rf"""WITH q AS (SELECT doc_id, {_NUMBERED} AS query FROM documents UNION ALL SELECT -1, 'slow loops in swift views, memory that is never freed and tests'),
+h AS (SELECT doc_id, query, unnest(string_split(regexp_replace(query, '\(\s*(\d+)\s*\)\s*', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:]) AS h FROM q),
+i AS (SELECT doc_id, split_part(h, chr(2), 1)::INT AS number, regexp_replace(regexp_replace(split_part(h, chr(2), 2), '^\s+|\s+$', '', 'g'), '\.+$', '') AS description FROM h WHERE trim(split_part(h, chr(2), 2)) <> '' AND NOT contains(split_part(h, chr(2), 2), '(')),
+p AS (SELECT doc_id, k::INT AS number, trim(part) AS description FROM (SELECT doc_id, unnest(string_split_regex(query, '\s*(?:,|\band\b|\bor\b)\s*')) AS part, generate_subscripts(string_split_regex(query, '\s*(?:,|\band\b|\bor\b)\s*'), 1) AS k FROM q WHERE doc_id NOT IN (SELECT doc_id FROM i)) WHERE length(trim(part)) > 10),
+a AS (SELECT * FROM i UNION ALL SELECT * FROM p),
+t AS (SELECT *, list_filter(regexp_extract_all(description, '\b([a-z_][a-z0-9_]*(?:[A-Z][a-zA-Z0-9_]*)?)\b', 1), lambda w: lower(w) NOT IN ({", ".join(f"'{w}'" for w in answers.PLAIN_WORDS)}) AND length(w) > 2) AS named, regexp_extract_all(description, '"([^"]+)"', 1) AS quoted, list_slice(list_filter(string_split_regex(description, '\s+'), lambda w: length(w) > 4), 1, 3) AS long FROM a)
+SELECT doc_id, number, description, CASE WHEN len(named) > 0 THEN array_to_string(named[:5], '|') WHEN len(quoted) > 0 THEN array_to_string(list_transform(quoted, lambda w: regexp_replace(w, '([^A-Za-z0-9_])', '\\\1', 'g')), '|') WHEN len(long) > 0 THEN array_to_string(list_transform(long, lambda w: regexp_replace(w, '([^A-Za-z0-9_])', '\\\1', 'g')), '|') ELSE '.*' END AS pattern,
+  CASE WHEN regexp_matches(lower(description), 'swift|ios|xcode') THEN '.swift' WHEN contains(lower(description), 'ts') OR contains(lower(description), 'typescript') THEN '.ts' WHEN regexp_matches(lower(description), 'js|javascript|react|phaser') THEN '.js' WHEN contains(lower(description), 'py') THEN '.py' END AS file_filter FROM t""")
+def numbered_questions(spark, sf_dir):
+    q = table(spark, sf_dir, "documents").select("doc_id", F.expr(_NUMBERED).alias("query"))
+    more = spark.createDataFrame([(-1, "slow loops in swift views, memory that is never freed and tests")], "doc_id long, query string")
+    return answers.numbered_items(q.unionByName(more)).drop("query")
+
+
+@query("WITH q AS (SELECT doc_id, ['security', 'quality', 'ios', 'other'][doc_id % 4 + 1] AS type FROM documents), s AS (SELECT * FROM (VALUES " + ", ".join(f"({rules.sql_text(k)}, {n}, {rules.sql_text(t)})" for k, n, t in [(k, n, t) for k, ts in answers.SUBQUESTIONS.items() for n, t in enumerate(ts, 1)] + [("other", n, t) for n, t in enumerate(answers.SUBQUESTIONS["security"][:2] + answers.SUBQUESTIONS["quality"][:2], 1)]) + ") AS v(type, part, subquestion)) SELECT doc_id, type, part, subquestion FROM q JOIN s USING (type)")
+def subquestions_by_kind(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("security", "quality", "ios", "other")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    return answers.subquestions(spark, table(spark, sf_dir, "documents").select("doc_id", kind.alias("type")))
+
+
+_CODE = "substr(text, 3, 24)"
+_CONTEXT = f"CASE doc_id % 8 WHEN 0 THEN concat('# note', chr(10), {_CODE}) WHEN 1 THEN concat(repeat(chr(34), 3), chr(10), {_CODE}, ' ', repeat(chr(34), 3)) WHEN 2 THEN concat('x // ', upper({_CODE})) WHEN 3 THEN concat('/* ', {_CODE}, ' */') WHEN 4 THEN concat('def test_it() ', {_CODE}) WHEN 5 THEN concat({_CODE}, ' # after') WHEN 6 THEN concat('/* ', {_CODE}) ELSE {_CODE} END"
+
+
+def _between_sql(name: str) -> str:
+    return f"coalesce(strpos({name}, part) > 0 AND strpos(substr({name}, strpos({name}, part) + length(part)), CASE '{name}' WHEN 'block' THEN '*/' WHEN 'double' THEN repeat(chr(34), 3) ELSE repeat(chr(39), 3) END) > 0, false)"
+
+
+def _after_sql(mark: str, length: int) -> str:
+    return f"CASE WHEN strpos(low, {mark}) > 0 THEN substr(low, strpos(low, {mark}) + {length}) END"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, lower(substr({_CODE}, 1, 20)) AS part, lower({_CONTEXT}) AS low FROM documents),
+m AS (SELECT *, {_after_sql("'#'", 1)} AS hash, {_after_sql("'//'", 2)} AS slash, {_after_sql("'/*'", 2)} AS block, {_after_sql("repeat(chr(34), 3)", 3)} AS double, {_after_sql("repeat(chr(39), 3)", 3)} AS single FROM c),
+f AS (SELECT *, coalesce(strpos(hash, part) > 0, false) OR coalesce(strpos(slash, part) > 0, false) AS in_comment, {_between_sql("block")} AS in_block, {_between_sql("double")} OR {_between_sql("single")} AS in_doc, coalesce(strpos(hash, part) > 0, false) AS in_hash FROM m)
+SELECT doc_id, NOT (in_comment OR in_doc OR in_block) AS valid, CASE WHEN in_hash THEN 'in a comment' WHEN in_doc THEN 'in a docstring' WHEN in_comment THEN 'in a comment' WHEN in_block THEN 'in a block comment'
+  WHEN regexp_matches(low, 'test_|_test\.|spec\.|mock|fixture|assert') THEN 'near tests' ELSE 'verified' END AS reason FROM f""")
+def findings_in_context(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CODE).alias("code"), F.expr(_CONTEXT).alias("context"))
+    return d.select("doc_id", answers.context_check(F.col("code"), F.col("context")).alias("c")).select("doc_id", "c.valid", "c.reason")
+
+
+_ANSWERS = [
+    (1, "find secrets and tokens", "[HIGH] src/app.py:5 holds a secret, confidence HIGH: `password = 'x1'`; an injection in web/view.js:11, vulnerable to auth bypass"),
+    (2, "find secrets", "There might be something, possibly a secret."), (3, "refactor this", "No issues."), (4, "slow loops", "gone/nowhere.py:7 is slow and uses memory: `for x in xs()` [LOW]"),
+    (5, "anything", ""), (6, "memory leak", "src/app.py:99999 is slow, confidence low HIGH `a = call(b)` confidence"), (7, "what is this", "a finding in app.py:2 `import pickle.x`"),
+]
+
+
+@query("""SELECT * FROM (VALUES (1, 'security', true, 2::BIGINT, ['references', 'lines', 'code', 'confidence', 'files_exist', 'lines_exist'], 1.0::DOUBLE, 'PASSED'), (2, 'security', false, 0, ['files_exist', 'lines_exist'], 0.26, 'FAILED'),
+(3, 'quality', true, 0, ['files_exist', 'lines_exist'], 0.48, 'FAILED'), (4, 'performance', true, 1, ['references', 'lines', 'code', 'confidence', 'lines_exist'], 0.846667, 'PASSED'), (5, 'general', false, 0, ['files_exist', 'lines_exist'], 0.0, 'FAILED'),
+(6, 'performance', true, 1, ['references', 'lines', 'code', 'confidence', 'files_exist'], 0.793333, 'PASSED'), (7, 'general', true, 1, ['references', 'lines', 'code', 'files_exist', 'lines_exist'], 0.9, 'PASSED')) AS v(id, intent, aligned, n_references, checks, score, status)""")
+def answers_judged(spark, sf_dir):
+    return answers.judged_answers(spark.createDataFrame(_ANSWERS, "id int, query string, answer string"), sample.files(spark))
+
+
+@query(rf"""WITH {_SAMPLE_LINES}, m AS (SELECT file_seq, path, line_no, regexp_matches(line, '^\s*#if\b') AS opens, regexp_matches(line, '^\s*#if\s+(?:false|0)\b') AS dead FROM lines WHERE regexp_matches(line, '^\s*#(?:if|endif)\b')),
+d AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY file_seq, path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS depth FROM m),
+p AS (SELECT *, lead(line_no) OVER (PARTITION BY file_seq, path, CASE WHEN opens THEN depth ELSE depth + 1 END ORDER BY line_no) AS nxt FROM d),
+r AS (SELECT file_seq, line_no AS s, coalesce(nxt, line_no) AS e FROM p WHERE opens AND dead)
+SELECT l.file_seq, l.path, string_agg(concat(CASE WHEN a.s IS NOT NULL THEN concat('[DEAD CODE START: ', trim(line), ']', chr(10)) ELSE '' END, line, CASE WHEN z.e IS NOT NULL THEN chr(10) || '[DEAD CODE END]' ELSE '' END), chr(10) ORDER BY line_no) AS content
+FROM lines l LEFT JOIN (SELECT DISTINCT file_seq, s FROM r) a ON a.file_seq = l.file_seq AND a.s = l.line_no LEFT JOIN (SELECT DISTINCT file_seq, e FROM r) z ON z.file_seq = l.file_seq AND z.e = l.line_no GROUP BY ALL""")
+def dead_code_marked(spark, sf_dir):
+    return answers.marked_dead_code(sample.files(spark))
+
+
+@query(rf"WITH {DOC_LINES}, f AS (SELECT path FROM files WHERE contains(path, '/1') ORDER BY file_seq LIMIT 1), n AS (SELECT path, line, line_no, count(*) OVER (PARTITION BY path) AS n FROM lines WHERE path = (SELECT path FROM f)) SELECT path, concat(string_agg(concat(line_no, ': ', line), chr(10) ORDER BY line_no) FILTER (WHERE line_no <= 3), CASE WHEN max(n) > 3 THEN concat(chr(10), '... (', max(n) - 3, ' more lines)') ELSE '' END) AS text FROM n GROUP BY path")
+def numbered_file_text(spark, sf_dir):
+    return answers.numbered_text(doc_files(spark, sf_dir), "/1", 3)
+
+
+@query("SELECT doc_id, length(text) // 4 AS total_tokens, length(text) AS characters, CASE WHEN length(text) > 0 THEN round((length(text) // 4) / length(text), 6) ELSE 0.0 END AS tokens_per_char, round((length(text) // 4) / 1000000 * 3.0, 9) AS input_cost, round((length(text) // 4) / 1000000 * 0.3, 9) AS cached_read_cost, round((length(text) // 4) / 1000000 * 3.75, 9) AS cached_write_cost, length(text) // 4 >= 1024 AS worth_caching FROM documents")
+def token_costs(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", answers.token_stats(F.col("text")).alias("s"))
+    return d.select("doc_id", "s.*", answers.worth_caching(F.col("s.total_tokens")).alias("worth_caching"))
+
+
+@query("WITH m AS (SELECT conv_id, turn, length(coalesce(text, '')) // 4 + 4 AS tokens FROM conversations) SELECT conv_id, turn, tokens, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) + 3)::BIGINT AS prefix_tokens, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NULL AND sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) + 3 >= 1024 AS breakpoint FROM m")
+def prompt_cache_plan(spark, sf_dir):
+    return answers.cache_plan(table(spark, sf_dir, "conversations"))
+
+
+_USAGE = "CASE WHEN user_id % 3 = 0 THEN CAST(floor(value * 100) AS BIGINT) ELSE 0 END AS read_tokens, CASE WHEN user_id % 3 = 1 THEN CAST(floor(value * 10) AS BIGINT) ELSE 0 END AS write_tokens"
+
+
+@query(f"WITH r AS (SELECT {_USAGE} FROM events), c AS (SELECT count(*) AS requests, count(*) FILTER (WHERE read_tokens > 0) AS hits, count(*) FILTER (WHERE read_tokens = 0 AND write_tokens = 0) AS misses, count(*) FILTER (WHERE write_tokens > 0) AS writes, sum(read_tokens)::BIGINT AS tokens_saved FROM r) SELECT *, round(hits / requests, 6) AS hit_rate, round(tokens_saved / 1000000 * (3.0 - 0.3)::DOUBLE, 6) AS cost_saved FROM c")
+def prompt_cache_usage(spark, sf_dir):
+    return answers.cache_usage(table(spark, sf_dir, "events").selectExpr(*_USAGE.split(", CASE")[:1], "CASE" + _USAGE.split(", CASE")[1]))
+
+
+@query(f"WITH {_VERSIONS}, j AS (SELECT now.path, now.content_hash = b.content_hash AS same, b.path IS NULL AS fresh FROM now LEFT JOIN before b ON b.path = now.path) SELECT count(*) AS files, count(*) FILTER (WHERE same) AS hits, count(*) FILTER (WHERE NOT same AND NOT fresh) AS changed, count(*) FILTER (WHERE fresh) AS new, round(count(*) FILTER (WHERE same) / count(*), 6) AS hit_rate FROM j")
+def incremental_reuse(spark, sf_dir):
+    now, before = _versions(spark, sf_dir)
+    return state.reuse_stats(doc_files(spark, sf_dir), before)
+
+
+@query("SELECT key, event_type AS response, ts FROM (SELECT *, user_id::VARCHAR AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) WHERE k = 1 ORDER BY ts DESC, key DESC LIMIT 40")
+def response_cache_put(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("response"), "ts", "event_id")
+    return state.cache_put(e.where("event_id % 2 = 0").drop("event_id"), e.where("event_id % 2 = 1").drop("event_id"), 40)
+
+
+@query(rf"""WITH {DOC_FILES}, n AS (SELECT path, greatest(ceil(length(content) / 1800), 0) AS n FROM files WHERE length(content) > 0), g AS (SELECT n, greatest(ceil(sqrt(n)), 1) AS g FROM n), c AS (SELECT n, ceil(n / g) AS c1, greatest(g, 2) AS h FROM g),
+d AS (SELECT CASE WHEN n = 1 THEN 0 WHEN c1 = 1 THEN 1 WHEN ceil(c1 / h) = 1 THEN 2 ELSE 3 END AS depth FROM c), s AS (SELECT path, content, unnest(range(0, length(content), 1800)) AS start FROM files)
+SELECT (SELECT count(DISTINCT path) FROM s) AS documents, (SELECT sum(length(substr(content, start + 1, 2000)) // 4)::BIGINT FROM s) AS total_tokens, (SELECT count(*) FROM s) AS chunks, (SELECT list(depth ORDER BY depth)::INT[] FROM d) AS depths""")
+def context_statistics(spark, sf_dir):
+    c = chunks.fixed_chunks(doc_files(spark, sf_dir), 2000, 200).withColumn("token_count", F.floor(F.length("content") / 4))
+    return answers.context_stats(c, chunks.summary_tree(c))
+
+
+@query(f"WITH found AS (SELECT tool, count(*) AS n_found, count(*) FILTER (WHERE confidence IN ('HIGH', 'MEDIUM')) AS n_kept FROM ({_SECURITY_SQL}) GROUP BY tool) SELECT t.tool, coalesce(n_found, 0) AS n_found, coalesce(n_kept, 0) AS n_kept FROM (VALUES {', '.join(f'({t!r})' for t in [*_PLAIN_SECURITY, 'stateobject_issues'] if t != 'stateobject_issues')}) AS t(tool) LEFT JOIN found f ON f.tool = t.tool WHERE coalesce(n_kept, 0) > 0 OR coalesce(n_found, 0) = 0")
+def scan_summary(spark, sf_dir):
+    return scanners.scan_summary(scan_files(spark, sf_dir), _PLAIN_SECURITY)
+
+
+@query()
+def code_chunks(spark, sf_dir):
+    return chunks.code_chunks(sample.files(spark), 200, 3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -176,6 +176,22 @@ fn run() -> Result<u8, String> { Ok(()) }
 if v.len() == 0 { panic!("no") }
 let c = a.clone().clone();
 for i in 0..v.len() { }
+'''),
+    ("app/Data.swift", '''import SwiftData
+let context = ModelContext(container)
+Task { use(modelContext) }
+DispatchQueue.global().async { modelContext.insert(x) }
+// let context = ModelContext(container)
+@ModelActor actor Store { }
+CKModifyRecordsOperation(recordsToSave: all)
+database.perform(query) { }
+URL(string: userInput)
+URL(string: "https://example.org")
+NSPredicate(format: "name == %@", searchText)
+webView.evaluateJavaScript("run(input)")
+'''),
+    ("tests/DataTest.swift", '''URL(string: userInput)
+let context = ModelContext(container)
 '''),
     ("README.md", '''# Title
 Intro with password = "documented1" inside.

@@ -7,6 +7,8 @@ first-fit operators use.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,26 +92,31 @@ def parse_corpus(df: DataFrame, text: Column) -> DataFrame:
     return as_files(one, F.col("path"), F.col("content"), F.col("seq"))
 
 
-def lines(files: DataFrame) -> DataFrame:
-    """(file_seq, path, extension, line_no, line): lines are counted from 1; '' has one empty line."""
-    return files.select("file_seq", "path", "extension", F.posexplode(F.split("content", "\n", -1)).alias("k", "line")).select("file_seq", "path", "extension", (F.col("k") + 1).alias("line_no"), "line")
+def lines(files: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """(file_seq, path, extension, line_no, line, and columns of the file to carry): lines are counted from 1; '' has one empty line."""
+    return files.select("file_seq", "path", "extension", *carried, F.posexplode(F.split("content", "\n", -1)).alias("k", "line")).select("file_seq", "path", "extension", (F.col("k") + 1).alias("line_no"), "line", *carried)
 
 
 def within_budget(files: DataFrame, max_tokens: int = MAX_TOTAL_TOKENS) -> DataFrame:
     """First fit in file order: a file is skipped if it would exceed the budget, later smaller ones may still fit.
 
-    The decision is a fold over (file_seq, token_count) alone; contents join
-    afterwards.  Files above the whole budget never fit and are dropped first.
+    Files of no token always fit.  The others are read in order, sequence
+    numbers and counts only, until less is left than the smallest of them has;
+    what is kept is bounded by the budget, whatever the corpus holds.
     """
-    order = files.where(F.col("token_count") <= max_tokens).agg(F.sort_array(F.collect_list(F.struct("file_seq", "token_count"))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc: Column, f: Column) -> Column:
-        fits = acc["total"] + f["token_count"] <= max_tokens
-        return F.struct(F.when(fits, acc["total"] + f["token_count"]).otherwise(acc["total"]).alias("total"), F.when(fits, F.concat(acc["kept"], F.array(f["file_seq"]))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = order.select(F.explode(F.aggregate("all", start, step)["kept"]).alias("file_seq"))
-    return files.join(kept, "file_seq", "left_semi")
+    sized = files.where((F.col("token_count") <= max_tokens) & (F.col("token_count") > 0)).select("file_seq", "token_count")
+    least = sized.agg(F.min("token_count")).first()[0]
+    left, kept = max_tokens, []
+    if least is not None:
+        for r in sized.orderBy("file_seq").toLocalIterator():
+            if r.token_count <= left:
+                left -= r.token_count
+                kept.append((r.file_seq,))
+                if left < least:
+                    break
+    fits = files.sparkSession.createDataFrame(kept, "_seq long")
+    chosen = files.where(F.col("token_count") > 0).join(fits, F.col("file_seq") == F.col("_seq"), "left_semi")
+    return files.where(F.coalesce(F.col("token_count"), F.lit(0)) <= 0).unionByName(chosen) if max_tokens >= 0 else files.where("false")
 
 
 def write_files(files: DataFrame, path: str, format: str = "parquet") -> None:

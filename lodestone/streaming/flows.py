@@ -47,7 +47,10 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 
 def upsert_table(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Merge each batch into a Parquet table of versions: batch n reads version n - 1 and writes version n, so a repeated batch gives the same."""
+    """Merge each batch into a Parquet table of versions: batch n reads version n - 1 and writes version n, so a repeated batch gives the same.
+
+    Versions before n - 1 are deleted once version n is written.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -58,21 +61,32 @@ def upsert_table(stream: DataFrame, path: str, checkpoint: str, merge: Callable[
                 raise
             old = spark.createDataFrame([], batch.schema)
         merge(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def breaker_stream(events: DataFrame, failures: int = 5) -> DataFrame:
-    """(user_id, run, open): the run of failures of each user after every batch, kept in state."""
+def breaker_stream(events: DataFrame, failures: int = 5, cool_seconds: int = 60) -> DataFrame:
+    """(user_id, run, refused, open): the circuit breaker of each user after every batch, kept in state.
+
+    As state.breaker(): open after ``failures`` failures in a row, it refuses
+    calls until ``cool_seconds`` after the last failure; a success closes it.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches, state: GroupState):
-        run = state.get[0] if state.exists else 0
-        for rows in batches:
-            for kind in rows.sort_values(["ts", "event_id"]).event_type:
-                run = run + 1 if kind == "error" else 0
-        state.update((run,))
-        yield pd.DataFrame({"user_id": [key[0]], "run": [run], "open": [run >= failures]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, run int, open boolean", "run int", "update", GroupStateTimeout.NoTimeout)
+        run, last, refused = state.get if state.exists else (0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind, at in zip(rows.event_type, rows.ts.astype("datetime64[s]").astype("int64")):
+            if run >= failures and at - last < cool_seconds:
+                refused += 1
+            elif kind == "error":
+                run, last = run + 1, int(at)
+            else:
+                run = 0
+        state.update((run, last, refused))
+        yield pd.DataFrame({"user_id": [key[0]], "run": [run], "refused": [refused], "open": [run >= failures]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, run int, refused int, open boolean", "run int, last long, refused int", "update", GroupStateTimeout.NoTimeout)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lodestone.operators import scanners
 from lodestone.sources.corpus import documents_as_files
 from lodestone.streaming import flows
@@ -39,6 +41,11 @@ def test_breaker_keeps_state(spark, sf001, tmp_path):
     for r in events.orderBy("ts", "event_id").collect():
         runs[r.user_id] = runs.get(r.user_id, 0) + 1 if r.event_type == "error" else 0
     assert dict(zip(got.user_id, got.run)) == runs and (got.open == (got.run >= 2)).all()
+    from lodestone.operators import state
+
+    got = run(flows.breaker_stream(stream, 1, 5_000_000), "cooling", "update").toPandas().set_index("user_id")
+    want = state.breaker(events.withColumn("failed", F.col("event_type") == "error"), "user_id", 1, 5_000_000).toPandas().set_index("user_id")
+    assert got.refused.to_dict() == want.n_refused.to_dict() and want.n_refused.sum() > 0 and got.open.to_dict() == want.open_at_end.to_dict()
 
 
 def test_upsert_table(spark, sf001, tmp_path):
