@@ -746,7 +746,7 @@ def subquestions_by_kind(spark, sf_dir):
 
 
 _CODE = "substr(text, 3, 24)"
-_CONTEXT = f"CASE doc_id % 8 WHEN 0 THEN concat('# note', chr(10), {_CODE}) WHEN 1 THEN concat(repeat(chr(34), 3), chr(10), {_CODE}, ' ', repeat(chr(34), 3)) WHEN 2 THEN concat('x // ', upper({_CODE})) WHEN 3 THEN concat('/* ', {_CODE}, ' */') WHEN 4 THEN concat('def test_it() ', {_CODE}) WHEN 5 THEN concat({_CODE}, ' # after') WHEN 6 THEN concat('/* ', {_CODE}) ELSE {_CODE} END"
+_CONTEXT = f"CASE doc_id % 8 WHEN 0 THEN concat('# note', chr(10), {_CODE}) WHEN 1 THEN concat(repeat(chr(34), 3), chr(10), {_CODE}, ' ', repeat(chr(34), 3)) WHEN 2 THEN concat('x // ', {_CODE}) WHEN 3 THEN concat('/* ', {_CODE}, ' */') WHEN 4 THEN concat('def test_it() ', {_CODE}) WHEN 5 THEN concat({_CODE}, ' # after') WHEN 6 THEN concat('/* ', {_CODE}) ELSE {_CODE} END"
 
 
 def _between_sql(name: str) -> str:
