@@ -96,3 +96,45 @@ def markdown(findings: DataFrame, per_confidence: int = 20) -> str:
         if own[0]["_all"] > len(own):
             out.append(f"- ... and {own[0]['_all'] - len(own)} more")
     return "\n".join(out)
+
+
+def table_markdown(df: DataFrame, most: int = 100) -> str:
+    """The first rows as a Markdown table, with a line for those left out; bars and line ends in cells are escaped."""
+    rows = df.limit(most + 1).collect()
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    out = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    out += ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]]
+    return "\n".join(out + (["", f"... more than {most} rows"] if len(rows) > most else []))
+
+
+def totals_markdown(findings: DataFrame) -> str:
+    """How many findings there are, by severity and by confidence."""
+    t = scanner_totals(findings).first()
+    lines = [f"**{t.total} findings** in {t.n_files} files, {t.high_confidence} of high confidence", ""]
+    return "\n".join(lines + [f"- {s}: {t[s.lower()]}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO") if t[s.lower()]])
+
+
+def verification_markdown(verified: DataFrame, most: int = 20) -> str:
+    """Score and level of checked references, and the first that are wrong."""
+    from .verify import verification_stats
+
+    s = verification_stats(verified).first()
+    out = [f"**Verification: {s.level}** ({s.score:.2f})", "", f"- files found: {s.files_found} of {s.files}", f"- lines in range: {s.lines_ok} of {s.refs}", f"- paths corrected: {s.corrections}"]
+    wrong = verified.where("not in_range").select("file", "line", "resolved", "n_lines").orderBy("file", "line")
+    return "\n".join(out) + ("\n\n" + table_markdown(wrong, most) if s.lines_ok < s.refs else "")
+
+
+def answers_markdown(judged: DataFrame) -> str:
+    """Each judged answer with its status and what it lacks."""
+    every = ("references", "lines", "code", "confidence", "files_exist", "lines_exist")
+    out = []
+    for r in judged.orderBy("id").collect():
+        lacks = [c for c in every if c not in r.checks]
+        out.append(f"- answer {r.id}: **{r.status}** ({r.score:.2f}), {r.intent}" + ("" if r.aligned else ", off the question") + (f"; lacks {', '.join(lacks)}" if lacks else ""))
+    return "\n".join(out)
+
+
+def results_markdown(results: DataFrame) -> str:
+    """Responses of chunks in order of relevance, each under its path."""
+    rows = results.orderBy(F.desc("relevance"), "file_seq", "chunk_id").collect()
+    return "\n\n".join(f"### {r.path} (part {r.chunk_id}, relevance {r.relevance:.2f})\n{r.response}" for r in rows)

@@ -166,3 +166,33 @@ def test_timed_calls_are_metrics(spark):
         half(0)
     got = report.metrics(log.table(spark), "function_name", "elapsed_ms", "success").first()
     assert got.function_name == "half" and got.n == 2 and got.success_rate == 0.5
+
+
+def test_markdown(spark):
+    from lodestone.operators import report
+
+    f = sample.files(spark)
+    found = scanners.scan(f, ["secrets", "todos"])
+    assert report.totals_markdown(found).startswith(f"**{found.count()} findings** in")
+    refs = spark.createDataFrame([("src/app.py", 1), ("app.py", 999), ("lost|a.py", 1)], "file string, line int")
+    text = report.verification_markdown(verify.verify_lines(refs, f))
+    assert "lines in range: 1 of 3" in text and "| app.py | 999 | src/app.py |" in text and "lost\\|a.py" in text
+    judged = answers.judged_answers(spark.createDataFrame([(1, "find secrets", "")], "id int, query string, answer string"), f)
+    assert report.answers_markdown(judged) == "- answer 1: **FAILED** (0.00), security, off the question; lacks references, lines, code, confidence"
+    some = chunks.map_chunks(chunks.fixed_chunks(f, 100, 0), "import password", threshold=0.5)
+    assert report.results_markdown(some).startswith("### ") and report.table_markdown(some, 1).endswith("... more than 1 rows")
+
+
+def test_sqlite_and_json(spark, tmp_path):
+    from lodestone.sources import store
+
+    rows = [(f"k{k}", f"v{k}", k) for k in range(25)] + [(None, "", 99)]
+    path = str(tmp_path / "m.db")
+    df = spark.createDataFrame(rows, "key string, value string, size int")
+    assert store.write_sqlite(df, path, "memo ries") == 26 and store.write_sqlite(df.where("false"), path, "none") == 0
+    got = store.read_sqlite(spark, path, "memo ries", "key string, value string, size int", 4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
+    assert store.read_sqlite(spark, path, "none", "key string").count() == 0
+    f = files_from_rows(spark, [("a.py", "x\ny"), ("b.py", "")])
+    corpus.write_files(f.select("path", "content"), str(tmp_path / "j"), "json")
+    assert sorted((r.path, r.content, r.extension) for r in store.read_json_files(spark, str(tmp_path / "j")).collect()) == [("a.py", "x\ny", ".py"), ("b.py", "", ".py")]
