@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, replace
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,38 +158,49 @@ def condition(rule: Rule, line: Column, path: Column, low: Column) -> Column:
     return cond
 
 
-def confidence(rule: Rule, line: Column, path: Column) -> Column:
-    if rule.conf == "SCORED":
-        return P.line_confidence(line, path)
-    if rule.conf == "TEST_LOW":
-        return F.when(P.is_test_path(path), "LOW").otherwise("HIGH")
-    return F.lit(rule.conf)
+#: Conditions by rule; a column belongs to no table, and a hundred calls to the JVM a rule are slow.
+_CONDITIONS: dict[tuple[int, Rule], Column] = {}
+
+
+def _cached(rule: Rule) -> Column:
+    key = (id(SparkContext._jvm), rule)
+    if key not in _CONDITIONS:
+        _CONDITIONS[key] = condition(rule, F.col("line"), F.col("path"), F.col("_low"))
+    return _CONDITIONS[key]
+
+
+_DETAILS = "array<struct<tool string, rule_seq int, issue string, severity string, category string, fix string, conf string, cut int>>"
 
 
 def rule_hits(lines: DataFrame, rules: list[Rule], gates: dict[str, Column] | None = None) -> DataFrame:
     """Findings of all rules in one pass over the lines.
 
-    Each line gives an array of the rules that hold (literal test, then regex)
-    and only that is exploded; nothing is shuffled.  Rules of the same suffixes
-    share one test of the path, and the suffixes of all rules together are a
-    filter on the path, which Catalyst moves below the generation of lines.
-    ``gates`` are conditions of tools that come with the lines.
+    Each line gives an array of the numbers of the rules that hold (literal
+    test, then regex) and only that is exploded; nothing is shuffled.  Rules
+    of the same suffixes share one test of the path, and the suffixes of all
+    rules together are a filter on the path, which Catalyst moves below the
+    generation of lines.  What a rule says is one constant, looked up for hits
+    alone.  ``gates`` are conditions of tools that come with the lines.
     """
-    line, path, low = F.col("line"), F.col("path"), F.col("_low")
+    line, path = F.col("line"), F.col("path")
     every = {s for r in rules for s in r.suffixes} if all(r.suffixes for r in rules) else set()
     source = lines.where(suffix_condition(path, tuple(sorted(every)))) if every else lines
     hits: dict[tuple[str, ...], list[Column]] = {}
-    for r in rules:
-        made = F.struct(
-            F.lit(r.tool).alias("tool"), F.lit(r.seq).alias("rule_seq"), (F.concat(F.regexp_extract(line, r"(?iu)(?:#|//|/\*)\s*(FIXME|HACK|TODO|XXX)", 1), F.lit(" comment")) if r.tool == "todos" else F.lit(r.issue)).alias("issue"),
-            F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.fix).alias("fix"), confidence(r, line, path).alias("confidence"), F.lit(r.cut).alias("cut"),
-        )
-        holds = condition(r, line, path, low)
-        hits.setdefault(r.suffixes, []).append(F.when(gates[r.tool] & holds if gates and r.tool in gates else holds, made))
+    for k, r in enumerate(rules):
+        holds = gates[r.tool] & _cached(r) if gates and r.tool in gates else _cached(r)
+        hits.setdefault(r.suffixes, []).append(F.when(holds, F.lit(k)))
     groups = [F.when(suffix_condition(path, suffixes), F.array_compact(F.array(*own))) for suffixes, own in hits.items()]
     every_hit = F.flatten(F.array_compact(F.array(*groups)))
-    found = source.withColumn("_low", F.lower("line")).select("file_seq", "path", "line_no", "line", F.explode(every_hit).alias("h"))
-    return found.select("h.tool", "h.rule_seq", "file_seq", F.col("path").alias("file"), F.col("line_no").alias("line"), F.expr("substring(regexp_replace(line, '^\\\\s+|\\\\s+$', ''), 1, h.cut)").alias("code"), "h.issue", "h.confidence", "h.severity", "h.fix", "h.category")
+    details = json.dumps([{"tool": r.tool, "rule_seq": r.seq, "issue": r.issue, "severity": r.severity, "category": r.category, "fix": r.fix, "conf": r.conf, "cut": r.cut} for r in rules])
+    found = source.withColumn("_low", F.lower("line")).select("file_seq", "path", "line_no", "line", F.explode(every_hit).alias("_k"))
+    found = found.withColumn("h", F.get(F.from_json(F.lit(details), _DETAILS), F.col("_k")))
+    marker = F.concat(F.regexp_extract(line, r"(?iu)(?:#|//|/\*)\s*(FIXME|HACK|TODO|XXX)", 1), F.lit(" comment"))
+    confidence = F.when(F.col("h.conf") == "SCORED", P.line_confidence(line, path)).when(F.col("h.conf") == "TEST_LOW", F.when(P.is_test_path(path), "LOW").otherwise("HIGH")).otherwise(F.col("h.conf"))
+    code = F.expr("substring(regexp_replace(line, '^\\\\s+|\\\\s+$', ''), 1, h.cut)")
+    return found.select(
+        "h.tool", "h.rule_seq", "file_seq", path.alias("file"), F.col("line_no").alias("line"), code.alias("code"), F.when(F.col("h.tool") == "todos", marker).otherwise(F.col("h.issue")).alias("issue"),
+        confidence.alias("confidence"), "h.severity", "h.fix", "h.category",
+    )
 
 
 FINDING_COLUMNS = ("tool", "rule_seq", "file_seq", "file", "line", "code", "issue", "confidence", "severity", "fix", "category")
