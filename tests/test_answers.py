@@ -76,6 +76,33 @@ def test_nearest_by_vector_equals_brute_force(spark):
     assert state.nearest_by_words(words, texts).first().key == "a"
 
 
+def test_nearest_by_words_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(300):
+        base = rows[int(rng.integers(k))][1].split() if k % 3 else []
+        own = [w for w in base if rng.random() > 0.1] + [f"w{int(x)}" for x in rng.zipf(1.3, int(rng.integers(1, 4 if base else 30))) % 400]
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "id int, text string")
+    q, c = df.where("id % 4 = 0").withColumnRenamed("id", "query_id"), df.where("id % 4 <> 0").withColumnRenamed("id", "key")
+    sets = {k: set(t.split()) for k, t in rows if len(set(t.split())) >= 2}
+    for least in (0.5, 0.7, 0.8):
+        want = {}
+        for k in [k for k in sets if k % 4 == 0]:
+            scored = [(-len(sets[k] & v) / len(sets[k] | v), j) for j, v in sets.items() if j % 4]
+            if -min(scored)[0] >= least:
+                want[k] = (min(scored)[1], -min(scored)[0])
+        got = {r.query_id: (r.key, r.similarity) for r in state.nearest_by_words(q, c, least).collect()}
+        assert got == want and len(want) > 9
+
+
+def test_nearest_by_words_of_an_id_that_repeats(spark):
+    words = [" ".join(f"{x}{k}" for k in range(10)) for x in "ab"]
+    asked = spark.createDataFrame([(1, words[0]), (1, words[1])], "query_id int, text string")
+    held = spark.createDataFrame([(5, words[1] + " z"), (6, words[1] + " z"), (4, "c d"), (None, words[1])], "key int, text string")
+    assert [(r.key, round(r.similarity, 6)) for r in state.nearest_by_words(asked, held).collect()] == [(5, round(10 / 11, 6))]
+
+
 def test_null_contents_and_summary(spark):
     f = files_from_rows(spark, [("a.js", "a(function(e) { b(function(e) {\nc(function(e) { d(function(e) {"), ("b.js", "x")]).unionByName(spark.createDataFrame([(9, "n.js", ".js", None, None, None)], files_from_rows(spark, [("x", "y")]).schema))
     assert [r.file for r in scanners.callback_hell(f).collect()] == ["a.js"]
