@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,29 @@ def test_nearest_by_vector_equals_brute_force(spark):
     assert state.nearest_by_words(words, texts).first().key == "a"
 
 
+def test_nearest_by_vector_keeps_no_side_in_one_place(spark, monkeypatch):
+    asked = spark.createDataFrame([(k, [float(k % 3), 1.0]) for k in range(40)], "query_id int, embedding array<double>")
+    held = spark.createDataFrame([(100 + k, [float(k % 5), 1.0]) for k in range(90)], "key int, embedding array<double>")
+
+    def refuse(*_):
+        raise AssertionError("a side was collected or sent")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refuse)
+    monkeypatch.setattr(type(asked), "toArrow", refuse)
+    for pass_bytes in (64 << 20, 300):
+        got = {r.query_id: (r.key, r.similarity) for r in state.nearest_by_vector(asked, held, 0.5, pass_bytes).collect()}
+        assert got == {k: (100 + k % 3, 1.0) for k in range(40)}
+    assert state.nearest_by_vector(asked, held.where("false"), -1.0).count() == 0
+
+
+def test_best_of_equal_products_is_the_first_key_of_any_tile():
+    held = np.array([[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [0.0, 1.0], [1.0, 0.0]])
+    asked = np.array([[0.0, 1.0], [1.0, 0.0], [np.nan, 1.0]])
+    for tile in (1, 2, 5):
+        got = state._best(asked, held, pd.Series([7, 8, 9]), pd.Series(list("abcde")), tile)
+        assert got[:2] == [(7, "b", 1.0), (8, "a", 1.0)] and got[2][:2] == (9, "a") and np.isnan(got[2][2])
+
+
 def test_nearest_by_words_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = []
