@@ -146,15 +146,29 @@ def json_chunks(files: DataFrame) -> DataFrame:
 
 
 def summary_tree(chunks: DataFrame, levels: int = 3) -> DataFrame:
-    """(path, level, node, first_chunk, last_chunk): groups of ceil(sqrt(n)) neighbours, level by level, until one node is left."""
-    n = chunks.groupBy("path").agg(F.count("*").alias("n"))
-    level = chunks.join(n, "path").select("path", F.lit(0).alias("level"), F.col("chunk_id").cast("long").alias("node"), F.col("chunk_id").cast("long").alias("first_chunk"), F.col("chunk_id").cast("long").alias("last_chunk"), F.ceil(F.sqrt("n")).alias("group"))
-    out = level
-    for k in range(1, levels + 1):
-        more = level.groupBy("path").agg(F.count("*").alias("_c")).where("_c > 1")
-        level = level.join(more, "path", "left_semi").groupBy("path", "group", F.floor(F.col("node") / F.col("group")).alias("node")).agg(F.min("first_chunk").alias("first_chunk"), F.max("last_chunk").alias("last_chunk")).select("path", F.lit(k).alias("level"), "node", "first_chunk", "last_chunk", F.greatest("group", F.lit(2)).alias("group"))
-        out = out.unionByName(level)
-    return out.drop("group")
+    """(path, level, node, first_chunk, last_chunk): groups of ceil(sqrt(n)) neighbours, level by level, until one node is left.
+
+    The chunk ids of a path meet in one row, and all its nodes are made there:
+    one aggregation, where levels that join each other would put many sorts
+    into one task.
+    """
+    ids = chunks.where("path is not null").groupBy("path").agg(F.sort_array(F.collect_list(F.col("chunk_id").cast("long"))).alias("ids"))
+    group = F.ceil(F.sqrt(F.size("ids"))).cast("double")
+    width = [F.lit(1.0)] + [group * F.pow(F.greatest(group, F.lit(2.0)), F.lit(k - 1)) for k in range(1, levels + 1)]
+    nodes = F.concat(*[_level(k, width[k], width[max(k - 1, 0)]) for k in range(levels + 1)])
+    return ids.select("path", F.explode(nodes).alias("n")).select("path", "n.*")
+
+
+def _level(k: int, width: Column, below: Column) -> Column:
+    """The nodes of a level from the sorted ``ids``: one for each quotient by its width, if the level below has more than one; level 0 has every id."""
+    node = lambda number, first, last: F.struct(F.lit(k).alias("level"), number.alias("node"), first.alias("first_chunk"), last.alias("last_chunk"))
+    if k == 0:
+        return F.transform("ids", lambda x: node(x, x, x))
+    differ = lambda x, other, w: F.coalesce(F.floor(x / w) != F.floor(other / w), F.lit(True))  # noqa: E731  # there is no other beyond the ends
+    first = F.filter("ids", lambda x, i: differ(x, F.get("ids", i - 1), width))
+    last = F.filter("ids", lambda x, i: differ(x, F.get("ids", i + 1), width))
+    more = F.size("ids") > 1 if k == 1 else differ(F.get("ids", F.lit(0)), F.get("ids", F.size("ids") - 1), below)
+    return F.when(more, F.zip_with(first, last, lambda a, b: node(F.floor(a / width), a, b))).otherwise(F.array())
 
 
 def overlap_relevance(query: str, text: str) -> float:

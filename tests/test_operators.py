@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -83,6 +85,24 @@ def test_summary_tree(spark):
     assert got == {("a", 1, 0, 0, 2), ("a", 1, 1, 3, 5), ("a", 1, 2, 6, 8), ("a", 2, 0, 0, 8)}
 
 
+def test_summary_tree_joins_no_levels(spark):
+    ids = {"a": list(range(30)), "gaps": [0, 3, 3, 50, 51, 99], "below": [-3, -2, 0, 4], "one": [7]}
+    c = spark.createDataFrame([(p, k) for p, of in ids.items() for k in of] + [(None, 1)], "path string, chunk_id int")
+    tree = chunks.summary_tree(c)
+    want = []
+    for p, of in ids.items():
+        level, group = [(k, k, k) for k in of], int(np.ceil(np.sqrt(len(of))))
+        want += [(p, 0, *x) for x in level]
+        for n in (1, 2, 3):
+            if len(level) > 1:
+                parents = sorted({x[0] // group for x in level})
+                level = [(q, min(x[1] for x in level if x[0] // group == q), max(x[2] for x in level if x[0] // group == q)) for q in parents]
+                want += [(p, n, *x) for x in level]
+                group = max(group, 2)
+    assert sorted(map(tuple, tree.collect())) == sorted(want)
+    assert "Join" not in tree._jdf.queryExecution().executedPlan().toString()
+
+
 def test_regions_nest(spark):
     f = files_from_rows(spark, [("a.swift", "#if false\n#if DEBUG\n#endif\nx\n#endif\n#if DEBUG\n#if false\ny\n#endif\n#endif\n#if 0")])
     assert [(r.start_line, r.end_line) for r in structure.dead_regions(f).orderBy("start_line").collect()] == [(1, 5), (7, 9), (11, 11)]
