@@ -265,7 +265,9 @@ def cache_usage(requests: DataFrame, read: str = "read_tokens", write: str = "wr
 
 
 def context_stats(chunks: DataFrame, tree: DataFrame, doc_col: str = "path") -> DataFrame:
-    """One row: documents, total_tokens, chunks and the depths of the documents' trees, sorted."""
-    sums = chunks.agg(F.count_distinct(doc_col).alias("documents"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"), F.count("*").alias("chunks"))
-    depths = tree.groupBy(doc_col).agg(F.max("level").alias("depth")).agg(F.sort_array(F.collect_list("depth")).alias("depths"))
-    return sums.crossJoin(depths)
+    """One row: documents, total_tokens, chunks and the depths of the documents' trees, sorted; only a count for each depth meets in one task."""
+    by_doc = chunks.groupBy(doc_col).agg(F.sum("token_count").alias("t"), F.count("*").alias("c"))
+    sums = by_doc.agg(F.count(doc_col).alias("documents"), F.coalesce(F.sum("t"), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("c"), F.lit(0)).alias("chunks"))
+    counts = tree.groupBy(doc_col).agg(F.max("level").alias("depth")).groupBy("depth").agg(F.count("*").cast("int").alias("n"))
+    repeated = F.transform(F.sort_array(F.collect_list(F.struct("depth", "n"))), lambda x: F.array_repeat(x["depth"], x["n"]))
+    return sums.crossJoin(counts.agg(F.flatten(repeated).alias("depths")))

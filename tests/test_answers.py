@@ -127,6 +127,15 @@ def test_nearest_by_words_of_an_id_that_repeats(spark):
     assert [(r.key, round(r.similarity, 6)) for r in state.nearest_by_words(asked, held).collect()] == [(5, round(10 / 11, 6))]
 
 
+def test_context_stats_collects_no_row_a_document(spark):
+    c = spark.createDataFrame([(f"p{k % 9}", k // 9, 2) for k in range(40)] + [("one", 0, None), (None, 0, 5)], "path string, chunk_id int, token_count int")
+    stats = answers.context_stats(c, chunks.summary_tree(c))
+    assert tuple(stats.first()) == (10, 85, 42, [0] + [2] * 9)
+    assert "collect_list(depth#" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    none = c.where("false")
+    assert tuple(answers.context_stats(none, chunks.summary_tree(none)).first()) == (0, 0, 0, [])
+
+
 def test_null_contents_and_summary(spark):
     f = files_from_rows(spark, [("a.js", "a(function(e) { b(function(e) {\nc(function(e) { d(function(e) {"), ("b.js", "x")]).unionByName(spark.createDataFrame([(9, "n.js", ".js", None, None, None)], files_from_rows(spark, [("x", "y")]).schema))
     assert [r.file for r in scanners.callback_hell(f).collect()] == ["a.js"]
